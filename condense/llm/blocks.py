@@ -210,7 +210,7 @@ REPLY_SCHEMA = "block long, kind int, bucket int, reply binary"
 def tally(counted: DataFrame, cap: int = 255, kind: int = 0) -> DataFrame:
     """For rows of ``bucket_rows``: the sum over all blocks of the marks of each value, at most cap, in the order sent."""
 
-    def total(key, table: pa.Table) -> pa.Table:
+    def total(key, table):
         names = table["block"].to_numpy()
         values = [unpack_sorted(x.as_py()) for x in table["values"]]
         marks = [unpack_array(x.as_py()).astype(np.int64) for x in table["marks"]]
@@ -237,7 +237,7 @@ def replies(table: pa.Table, kind: int) -> np.ndarray | None:
 def with_replies(blocks: DataFrame, answers: DataFrame, function, schema: str) -> DataFrame:
     """function(block, table of its replies) for each block, where they meet by block."""
 
-    def meet(key, rows: pa.Table, table: pa.Table) -> pa.Table:
+    def meet(key, rows, table):
         return function(open_block(rows["block"][0].as_py(), rows["rows"][0].as_py()), table)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from condense.llm import decontaminate
+from condense.llm import classifier, decontaminate, sharding
 
 QUERIES = {
+    "op4_ftrl_quality_classifier": classifier.op4,
     "op6_wu_manber_decontamination": decontaminate.op6,
+    "op8_two_pass_shuffle": sharding.op8,
 }
 
 ORACLE_SQL = {
