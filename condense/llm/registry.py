@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from condense.llm import classifier, decontaminate, sharding
+from condense.llm import classifier, decontaminate, linedup, sharding, substring
 
 QUERIES = {
     "op4_ftrl_quality_classifier": classifier.op4,
+    "op5_difference_cover_substrings": substring.op5,
     "op6_wu_manber_decontamination": decontaminate.op6,
+    "op7_winnowing_line_dedup": linedup.op7,
     "op8_two_pass_shuffle": sharding.op8,
 }
 
 ORACLE_SQL = {
+    "op5_difference_cover_substrings": substring.OP5_SQL,
     "op6_wu_manber_decontamination": decontaminate.OP6_SQL,
+    "op7_winnowing_line_dedup": linedup.OP7_SQL,
 }
