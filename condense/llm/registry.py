@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from condense.llm import classifier, decontaminate, linedup, sharding, substring
+from condense.llm import classifier, decontaminate, linedup, sharding, substring, suffixes
 
 QUERIES = {
     "op4_ftrl_quality_classifier": classifier.op4,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_wu_manber_decontamination": decontaminate.op6,
     "op7_winnowing_line_dedup": linedup.op7,
     "op8_two_pass_shuffle": sharding.op8,
+    "op9_suffix_array_dedup": suffixes.op9,
 }
 
 ORACLE_SQL = {
