@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from condense.llm import classifier, decontaminate, linedup, sharding, substring, suffixes
+from condense.llm import classifier, decontaminate, linedup, perplexity, sharding, substring, suffixes
 
 QUERIES = {
+    "op3_kneser_ney_rules": perplexity.op3,
     "op4_ftrl_quality_classifier": classifier.op4,
     "op5_difference_cover_substrings": substring.op5,
     "op6_wu_manber_decontamination": decontaminate.op6,
