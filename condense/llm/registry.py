@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from condense.llm import classifier, decontaminate, linedup, perplexity, sharding, substring, suffixes
+from condense.llm import classifier, decontaminate, linedup, perplexity, pii, sharding, substring, suffixes
 
 QUERIES = {
     "op3_kneser_ney_rules": perplexity.op3,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_winnowing_line_dedup": linedup.op7,
     "op8_two_pass_shuffle": sharding.op8,
     "op9_suffix_array_dedup": suffixes.op9,
+    "op10_information_theoretic_pii": pii.op10,
 }
 
 ORACLE_SQL = {
