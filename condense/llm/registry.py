@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from condense.llm import classifier, decontaminate, linedup, perplexity, pii, sharding, substring, suffixes
+from condense.llm import classifier, decontaminate, jaccard, linedup, perplexity, pii, sharding, substring, suffixes
 
 QUERIES = {
+    "op1_multi_order_jaccard": jaccard.op1,
     "op3_kneser_ney_rules": perplexity.op3,
     "op4_ftrl_quality_classifier": classifier.op4,
     "op5_difference_cover_substrings": substring.op5,
