@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from condense.llm import classifier, decontaminate, jaccard, linedup, perplexity, pii, sharding, substring, suffixes
+from condense.llm import classifier, decontaminate, jaccard, linedup, perplexity, pieces, pii, sharding, substring, suffixes
 
 QUERIES = {
     "op1_multi_order_jaccard": jaccard.op1,
+    "op2_sentencepiece_lattice": pieces.op2,
     "op3_kneser_ney_rules": perplexity.op3,
     "op4_ftrl_quality_classifier": classifier.op4,
     "op5_difference_cover_substrings": substring.op5,
