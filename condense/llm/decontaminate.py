@@ -23,13 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from condense.llm.blocks import id_array, iter_blocks
+from condense.llm.blocks import iter_blocks
 from condense.llm.textkit import ALNUM, GROUP, U64, mix, span_hashes, spans, windows_at
 from condense.shipping import ship
 
 #: Windows in one broadcast: about 50 bytes each and the items' words.
 MAX_PATTERNS = 200_000
+FOUND = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items")
 _TABLE_BITS = 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PAIR = U64(0x9E3779B97F4A7C15)
@@ -107,8 +109,8 @@ def compile_patterns(items: list[tuple[object, str | None]], k: int) -> list[lis
     return [list(c.values()) for c in chunks if c]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (array of item ids as strings) for every document.
+def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in keep, and n_words, n_hit, n_items, items_sha256, contaminated, items (array of item ids as strings), for every document.
 
     k: words in a window; an item with fewer words, but not none, is one window.
     """
@@ -148,12 +150,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, text: str
                 for doc, (covered, which) in found.items():
                     n_hit[at + doc], hits[at + doc] = len(covered), tuple(sorted(which))
                 at = upto
-            yield pa.RecordBatch.from_arrays(
-                [id_array(block.ids), pa.array(n_words), pa.array(n_hit), pa.array([len(h) for h in hits], pa.int64()), pa.array([hashlib.sha256(",".join(h).encode()).hexdigest() for h in hits]), pa.array(n_hit > 0), pa.array([list(h) for h in hits], pa.list_(pa.string()))],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
-            )
+            found = [pa.array(n_words), pa.array(n_hit), pa.array([len(h) for h in hits], pa.int64()), pa.array([hashlib.sha256(",".join(h).encode()).hexdigest() for h in hits]), pa.array(n_hit > 0), pa.array([list(h) for h in hits], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(block.table[c].combine_chunks() for c in keep), *found], [*keep, *FOUND])
 
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+    kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType(), T.ArrayType(T.StringType())]
+    schema = T.StructType([*docs.select(*keep).schema.fields, *map(T.StructField, FOUND, kinds)])
+    return docs.select(*dict.fromkeys((*keep, "doc_id", text))).withColumn("text", F.col(text)).mapInArrow(scan, schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
