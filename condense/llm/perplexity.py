@@ -33,6 +33,8 @@ from condense.shipping import ship
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 REPEAT = 8
+#: Smaller than others: a block's arrays hold eight bytes for each byte of its distinct words, several times.
+SIZE = 2 << 20
 
 
 def _lang_hash(lang: str | None) -> int:
@@ -79,7 +81,7 @@ def gram_counts(docs: DataFrame, order: int) -> DataFrame:
     """(lang, gram, n) over all documents; a gram is its bytes as one number."""
 
     def count(batches):
-        for block in B.iter_blocks(batches):
+        for block in B.iter_blocks(batches, SIZE):
             yield Vocabulary(block, order).counts()
 
     return docs.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -206,7 +208,7 @@ def quality_rules(docs: DataFrame, order: int = 4, fold: int = 20, reach: float
     model = spark.sparkContext.broadcast(([hash_array(p, "gram", "n", "logp", fold) for p in probs], [hash_array(b, "context", "total", "logb", fold) for b in backs]))
 
     def score(batches):
-        for block in B.iter_blocks(batches):
+        for block in B.iter_blocks(batches, SIZE):
             words = Vocabulary(block, order)
             each = word_scores(words, model.value, order)
             sums = np.concatenate([[0.0], np.cumsum(each[words.back])])
