@@ -149,6 +149,33 @@ def multikey_groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(fresh)
 
 
+def least_by_string(data: np.ndarray, size: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """For each string of length bytes of the records in data: the smallest id of any record that holds it.
+
+    Rolling hashes tell which strings can have an equal at all; these are sorted by their bytes.
+    """
+    strings = size - length + 1
+    begin = np.repeat(np.cumsum(size) - size - (np.cumsum(strings) - strings), strings) + np.arange(strings.sum())
+    holder = np.repeat(ids, strings)
+    h = np.empty(begin.size, np.uint64)
+    for low in range(0, begin.size, GROUP):
+        at = begin[low : low + GROUP]
+        part = data[at[0] : at[-1] + length]
+        sums = np.zeros(part.size + 1, np.uint64)
+        np.cumsum(_TABLE[part] * powers(part.size, _BASE), out=sums[1:])
+        at = at - at[0]
+        h[low : low + GROUP] = (sums[at + length] - sums[at]) * powers(part.size + 1, _INVERSE)[at]
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    again = np.zeros(h.size, bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    some = np.flatnonzero(again)
+    order, starts = multikey_groups(np.lib.stride_tricks.sliding_window_view(data, length)[begin[some]])
+    if order.size:
+        holder[some[order]] = np.repeat(np.minimum.reduceat(holder[some[order]], starts), np.diff(np.append(starts, order.size)))
+    return holder
+
+
 def suffix_dedup(docs: DataFrame, length: int = 50, head: int = 24, seed: int = 5) -> DataFrame:
     """All columns of docs, and kept (binary), n_bytes, n_removed, n_spans."""
     spark = docs.sparkSession
@@ -182,16 +209,19 @@ def suffix_dedup(docs: DataFrame, length: int = 50, head: int = 24, seed: int =
 
     def sort_bucket(key, table):
         sizes = [B.unpack_array(x.as_py()) for x in table["sizes"]]
-        data = np.frombuffer(b"".join(B.expand(x.as_py()) for x in table["content"]), np.uint8)
+        raw = b"".join(B.expand(x.as_py()) for x in table["content"])
         size, ids = np.concatenate(sizes).astype(np.int64), np.concatenate([B.unpack_array(x.as_py()) for x in table["ids"]])
-        strings = size - length + 1
-        begin = np.repeat(np.cumsum(size) - size, strings) + np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
-        holder = np.repeat(ids, strings)
-        late = np.zeros(begin.size, np.uint8)
-        order, starts = multikey_groups(np.lib.stride_tricks.sliding_window_view(data, length)[begin])
-        if order.size:
-            least = np.repeat(np.minimum.reduceat(holder[order], starts), np.diff(np.append(starts, order.size)))
-            late[order] = holder[order] > least
+        ends = np.cumsum(size)
+        # blocks often send the same bytes: sort each once, with the smallest doc_id
+        seen: dict[bytes, int] = {}
+        of = np.array([seen.setdefault(raw[a:z], len(seen)) for a, z in zip((ends - size).tolist(), ends.tolist(), strict=True)], np.int64)
+        least = np.full(len(seen), B.NO_ID)
+        np.minimum.at(least, of, ids)
+        own = np.fromiter(map(len, seen), np.int64, len(seen))
+        first = least_by_string(np.frombuffer(b"".join(seen), np.uint8), own, least, length)
+        n, strings = size - length + 1, own - length + 1
+        place = np.repeat((np.cumsum(strings) - strings)[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        late = (first[place] < np.repeat(ids, n)).astype(np.uint8)
         cut = np.cumsum([int(s.sum()) - (length - 1) * s.size for s in sizes])[:-1]
         n = table.num_rows
         return pa.table({"block": table["block"], "kind": pa.array([BITS] * n, pa.int32()), "bucket": pa.array([key[0].as_py()] * n, pa.int32()), "reply": pa.array([B.pack_array(x) for x in np.split(late, cut)], pa.binary())})
