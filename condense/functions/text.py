@@ -73,8 +73,8 @@ def dollars(tokens: Column) -> Column:
 
 def human_count(n: Column) -> Column:
     """1234 as 1.2K, 1234567 as 1.2M."""
-    return F.when(n >= 1_000_000, F.concat(F.format_number(n / 1e6, "0.0"), F.lit("M"))).when(n >= 1000, F.concat(F.format_number(n / 1e3, "0.0"), F.lit("K"))).otherwise(n.cast("string"))
+    return F.when(n >= 1_000_000, F.concat(F.format_number(n / 1e6, 1), F.lit("M"))).when(n >= 1000, F.concat(F.format_number(n / 1e3, 1), F.lit("K"))).otherwise(n.cast("string"))
 
 
 def human_duration(ms: Column) -> Column:
-    return F.when(ms < 1000, F.concat(F.format_number(ms, "0"), F.lit("ms"))).when(ms < 60_000, F.concat(F.format_number(ms / 1000, "0.0"), F.lit("s"))).otherwise(F.concat(F.format_number(F.floor(ms / 60_000), "0"), F.lit("m "), F.format_number(F.floor(ms % 60_000 / 1000), "0"), F.lit("s")))
+    return F.when(ms < 1000, F.concat(F.format_number(ms, 0), F.lit("ms"))).when(ms < 60_000, F.concat(F.format_number(ms / 1000, 1), F.lit("s"))).otherwise(F.concat(F.format_number(F.floor(ms / 60_000), 0), F.lit("m "), F.format_number(F.floor(ms % 60_000 / 1000), 0), F.lit("s")))

@@ -177,11 +177,12 @@ class GroupRepeated(Stage):
         listed = F.array_join(F.transform(F.slice(F.array_sort("__places"), 2, 2147483646), lambda x: x["at"]), ", ")
         told = F.concat(F.lit("("), (F.col("__n") - 1).cast("string"), F.lit(" more with the same message at: "), listed, F.lit(")"))
         df = decide(df, rest, COMPRESS, "repeats a grouped line elsewhere", self.type)
-        row = [F.col(c) for c in df.columns if not c.startswith("__")]
-        same = F.struct(*row, F.lit(0).alias("__sub"))
+        # doc_id stays outside the structs, so the partitioning by it is known to hold
+        names = [c for c in df.columns if not c.startswith("__") and c != "doc_id"]
+        same = F.struct(*names, F.lit(0).alias("__sub"))
         summary = {"line": told, "decision": F.lit(KEEP), "reason": F.lit("tells the places of repeats"), "stage": F.lit(self.type)}
-        extra = F.struct(*(summary[c].alias(c) if c in summary else F.when(F.lit(c in ("doc_id", "pos")), F.col(c)).alias(c) for c in df.columns if not c.startswith("__")), F.lit(1).alias("__sub"))
-        df = df.select(F.explode(F.when(F.col("__first"), F.array(same, extra)).otherwise(F.array(same))).alias("r")).select("r.*")
+        extra = F.struct(*(summary[c].alias(c) if c in summary else F.when(F.lit(c == "pos"), F.col(c)).alias(c) for c in names), F.lit(1).alias("__sub"))
+        df = df.select("doc_id", F.explode(F.when(F.col("__first"), F.array(same, extra)).otherwise(F.array(same))).alias("r")).select("doc_id", "r.*")
         return renumber(df, "pos", "__sub").drop("__sub")
 
 
@@ -313,11 +314,11 @@ class PathPrefixFold(Stage):
         df = df.withColumn("__fold", F.coalesce(F.col("__prefix").isNotNull() & (line_tokens(F.col("__head")) < gain), F.lit(False)))
         df = df.withColumn("__first", F.col("__fold") & (F.col("__rn") == 1))
         df = decide(df, F.col("__fold"), KEEP, "path prefix folded", self.type, F.col("__child"))
-        names = [c for c in df.columns if not c.startswith("__")]
+        names = [c for c in df.columns if not c.startswith("__") and c != "doc_id"]
         header = {"line": F.col("__head"), "decision": F.lit(KEEP), "reason": F.lit("holds a shared path prefix"), "stage": F.lit(self.type)}
-        top = F.struct(*(header[c].alias(c) if c in header else F.when(F.lit(c in ("doc_id", "pos")), F.col(c)).alias(c) for c in names), F.lit(0).alias("__sub"))
+        top = F.struct(*(header[c].alias(c) if c in header else F.when(F.lit(c == "pos"), F.col(c)).alias(c) for c in names), F.lit(0).alias("__sub"))
         own = F.struct(*names, F.lit(1).alias("__sub"))
-        df = df.select(F.explode(F.when(F.col("__first"), F.array(top, own)).otherwise(F.array(own))).alias("r")).select("r.*")
+        df = df.select("doc_id", F.explode(F.when(F.col("__first"), F.array(top, own)).otherwise(F.array(own))).alias("r")).select("doc_id", "r.*")
         return renumber(df, "pos", "__sub").drop("__sub")
 
 
@@ -385,9 +386,10 @@ def parsed_time(line: Column) -> Column:
 
 def delta_text(ns: Column) -> Column:
     """The largest unit that divides a difference evenly."""
+    ns = ns.cast("decimal(30,0)")
     out = F.concat(ns.cast("string"), F.lit("ns"))
     for name, unit in (("us", 10**3), ("ms", 10**6), ("s", 10**9), ("m", 60 * 10**9), ("h", 3600 * 10**9)):
-        out = F.when(ns % unit == 0, F.concat(((ns - ns % unit).cast("decimal(20,0)") / unit).cast("long").cast("string"), F.lit(name))).otherwise(out)
+        out = F.when(ns % unit == 0, F.concat(((ns - ns % F.lit(unit)) / F.lit(unit)).cast("decimal(30,0)").cast("string"), F.lit(name))).otherwise(out)
     return F.concat(F.lit("+"), F.when(ns == 0, F.lit("0s")).otherwise(out))
 
 
@@ -397,7 +399,9 @@ class RelativeTimestampCompression(Stage):
     def apply(self, df: DataFrame) -> DataFrame:
         df = self.preserve(df).withColumn("__t", F.when(is_keep(), parsed_time(F.col("line"))))
         before = F.lag("__t").over(by_pos())
-        df = df.withColumn("__gap", (F.col("__t.days") - before["days"]) * _DAY + F.col("__t.ns") - before["ns"])
+        # decimals, as centuries of nanoseconds leave 64 bits
+        days = (F.col("__t.days") - before["days"]).cast("decimal(10,0)")
+        df = df.withColumn("__gap", days * F.lit(_DAY).cast("decimal(15,0)") + (F.col("__t.ns") - before["ns"]).cast("decimal(20,0)"))
         breaks = (before["kind"] != F.col("__t.kind")) | (before["width"] != F.col("__t.width")) | (F.col("__gap") < 0)
         df = islands(df, F.col("__t").isNotNull(), "__island", breaks)
         run = W.partitionBy("doc_id", "__island")

@@ -15,8 +15,7 @@ SKIPPED = (*VENDOR, ".git", ".hg", ".svn", ".tox", ".mypy_cache", ".pytest_cache
 def walk_repository(spark: SparkSession, root: str, with_text: bool = True) -> DataFrame:
     """path, language, size, mtime_ns, content_hash, text of all files below root, skipped folders left out before they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/").split("://")[-1] + "/")
-    path = F.substring_index(F.col("path"), base, -1)
+    path = F.substring_index("path", root.rstrip("/").split("://")[-1] + "/", -1)
     parts = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
     rows = files.withColumn("__p", path).where(~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED))))
     out = rows.select(F.col("__p").alias("path"), language(F.col("__p")).alias("language"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("text"))

@@ -17,7 +17,7 @@ def tracking_sink(rows: DataFrame, path: str, checkpoint: str, every: str = "250
 def running_gain(rows: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Tokens saved by window and rule, with late rows up to a watermark."""
     saved = F.col("original_tokens") - F.col("final_tokens")
-    return rows.withWatermark("recorded_at", late).groupBy(F.window("recorded_at", window).alias("window"), "filter_name").agg(F.count("*").alias("invocations"), F.sum(saved).alias("tokens_saved")).select(F.col("window.start").alias("start"), "filter_name", "invocations", "tokens_saved")
+    return rows.withColumn("recorded_at", F.col("recorded_at").cast("timestamp")).withWatermark("recorded_at", late).groupBy(F.window("recorded_at", window).alias("window"), "filter_name").agg(F.count("*").alias("invocations"), F.sum(saved).alias("tokens_saved")).select(F.col("window.start").alias("start"), "filter_name", "invocations", "tokens_saved")
 
 
 def compress_stream(docs: DataFrame, pipeline: Pipeline, path: str, checkpoint: str) -> StreamingQuery:
