@@ -9,12 +9,13 @@ hold a token, counted over the corpus up to 255) and break ties by differently s
 2. blocks send their distinct tokens to hash buckets, which reply how many documents hold each.
    Tokens held once are in no intersection: a set with too few others links with nothing and
    leaves here, and the rest keep only shared tokens;
-3. stars: in each group of one prefix token the member with the largest shared part is the pivot,
-   the others are verified against it, and the links found are contracted to components.  This
-   takes a pair for each member, where a group of near copies has a square of them;
-4. what may still link lies between components: members of one token's group under the first
-   order, in different components, near enough by their sizes, and sharing a prefix token under
-   every other order too.  These pairs are verified one and all; none is capped or sampled;
+3. stars: in each group of one prefix token the member whose tokens are held most often (the middle
+   of a group of near copies) is the pivot, the others are verified against it, and the links found
+   are contracted to components.  This takes a pair for each member, where a group of near copies
+   has a square of them;
+4. what may still link lies between components: members of one token's group in different
+   components, near enough by what follows their first common token, under every order.  These
+   pairs are verified one and all; none is capped or sampled;
 5. components over the links of both steps give every document its smallest reachable doc_id.
 
 Verification counts shared tokens (48 bits of hash) of squeezed sets that meet by join; a pivot
@@ -82,8 +83,12 @@ def prefixes(tokens: np.ndarray, held: np.ndarray, n: int, size: int) -> list[np
 
 
 def _bound(a: str, b: str, num: int, den: int) -> Column:
-    """Whether sets of these sizes and shared parts can reach the similarity."""
-    most = F.least(F.col(f"{a}.m"), F.col(f"{b}.m"))
+    """Whether two sets can reach the similarity if this is their first common token in the order.
+
+    What follows the token in either set is all they can share besides it.  A later common token only
+    gives a smaller bound, so a pair passes by some token just when it passes by its first.
+    """
+    most = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
     return den * most >= num * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
 
 
@@ -167,26 +172,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     def list_prefixes(batches):
         for batch in batches:
-            ids, tokens, order, n, m = [], [], [], [], []
+            ids, tokens, order, n, pos, centre = [], [], [], [], [], []
             for i, size, shared, packed, held in zip(*(batch[c].to_pylist() for c in ("id", "n", "m", "tokens", "held")), strict=True):
-                for o, p in enumerate(prefixes(B.unpack_sorted(packed), B.unpack_array(held), size, size - -(-num * size // den) + 1)):
+                held = B.unpack_array(held)
+                for o, p in enumerate(prefixes(B.unpack_sorted(packed), held, size, size - -(-num * size // den) + 1)):
                     tokens.append(p)
                     ids.append(np.full(p.size, i))
                     order.append(np.full(p.size, o, np.int8))
                     n.append(np.full(p.size, size, np.int32))
-                    m.append(np.full(p.size, shared, np.int32))
+                    pos.append(np.arange(size - shared, size - shared + p.size, dtype=np.int32))
+                    centre.append(np.full(p.size, held.sum() / size))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(order)), pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(n)), pa.array(np.concatenate(m))], ["o", "token", "id", "n", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(order)), pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(n)), pa.array(np.concatenate(pos)), pa.array(np.concatenate(centre))], ["o", "token", "id", "n", "pos", "centre"])
 
-    prefix = B.materialized(sets.mapInArrow(list_prefixes, "o byte, token long, id long, n int, m int"))
+    prefix = B.materialized(sets.mapInArrow(list_prefixes, "o byte, token long, id long, n int, pos int, centre double"))
 
     first = prefix.where("o = 0")
-    pivots = B.materialized(first.groupBy("token").agg(F.count("*").alias("c"), F.max_by(F.struct("id", "n", "m"), F.struct((F.col("m") / F.col("n")).alias("r"), (-F.col("id")).alias("i"))).alias("p")).where("c > 1").select("token", "p.*"))
+    pivots = B.materialized(first.groupBy("token").agg(F.count("*").alias("c"), F.max_by(F.struct("id", "n", "pos"), F.struct("centre", (-F.col("id")).alias("i"))).alias("p")).where("c > 1").select("token", "p.*"))
     stars = first.alias("b").join(pivots.alias("a"), F.col("a.token") == F.col("b.token")).where((F.col("a.id") != F.col("b.id")) & _bound("a", "b", num, den)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     links = _verified(stars, sets, num, den)
 
     part = components(links)
-    placed = B.materialized(prefix.join(part, F.col("id") == F.col("node"), "left").select("o", "token", "id", "n", "m", F.coalesce("label", "id").alias("part")))
+    placed = B.materialized(prefix.join(part, F.col("id") == F.col("node"), "left").select("o", "token", "id", "n", "pos", F.coalesce("label", "id").alias("part")))
 
     def across(o: int) -> DataFrame:
         one, other = placed.where(F.col("o") == o).alias("a"), placed.where(F.col("o") == o).alias("b")
