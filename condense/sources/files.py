@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,9 +14,27 @@ from condense.shipping import ship
 SKIPPED = (*VENDOR, ".git", ".hg", ".svn", ".tox", ".mypy_cache", ".pytest_cache")
 
 
+def _unlisted(spark: SparkSession, root: str) -> DataFrame:
+    """Files whose names Spark's readers skip (a leading _ or .), such as __init__.py, read by the driver."""
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, it = [], fs.listFiles(base, True)
+    while it.hasNext():
+        status = it.next()
+        path = status.getPath()
+        if path.getName()[:1] in ("_", ".") or any(p[:1] in ("_", ".") for p in path.toString()[len(base.toString()) :].split("/")[1:-1]):
+            if not any(p in SKIPPED for p in path.toString().split("/")):
+                stream = fs.open(path)
+                found.append((path.toString(), datetime.fromtimestamp(status.getModificationTime() / 1000), status.getLen(), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+                stream.close()
+    return spark.createDataFrame(found, "path string, modificationTime timestamp, length long, content binary")
+
+
 def walk_repository(spark: SparkSession, root: str, with_text: bool = True) -> DataFrame:
     """path, language, size, mtime_ns, content_hash, text of all files below root, skipped folders left out before they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = files.select("path", "modificationTime", "length", "content").unionByName(_unlisted(spark, root))
     path = F.substring_index("path", root.rstrip("/").split("://")[-1] + "/", -1)
     parts = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
     rows = files.withColumn("__p", path).where(~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED))))
