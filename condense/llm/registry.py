@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_multi_order_jaccard": jaccard.OP1_SQL,
     "op5_difference_cover_substrings": substring.OP5_SQL,
     "op6_wu_manber_decontamination": decontaminate.OP6_SQL,
     "op7_winnowing_line_dedup": linedup.OP7_SQL,
