@@ -102,6 +102,7 @@ def iter_blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK, text: str
             if bytes_held >= size:
                 yield Block(next(name), pa.Table.from_batches(held), text)
                 held, bytes_held = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield Block(next(name), pa.Table.from_batches(held), text)
 

@@ -7,7 +7,8 @@ nothing else).  For each distinct unit of the corpus:
 
 1. its substrings of up to the longest piece's length are exploded, one row each;
 2. they are joined with the piece table (one vocabulary file, so broadcast is bounded);
-3. the edges found are grouped by unit, with single characters outside the table as byte pieces;
+3. the edges found (one number each) are grouped by unit, with single characters outside the table as byte pieces
+   (as many pieces as bytes);
 4. a higher-order ``aggregate`` folds Viterbi over the edges by their ends: the path with the
    fewest pieces, of these the one with the highest sum of scores, of these the longest last piece.
 
@@ -27,11 +28,9 @@ table gives no rows; other columns stay, columns named n_tokens, ids or round_tr
 from __future__ import annotations
 
 import itertools
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,7 +42,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 UNIT = 63
 MASKS = 1
-_EDGE = "struct<e:int,l:int,k:int,s:double>"
+#: Smaller than other operators' blocks: ids and their places take many times the bytes of a text.
+SIZE = 4 << 20
 
 
 class Vocabulary:
@@ -94,10 +94,10 @@ class Units:
             start[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
             start[self.offsets[:-1][full]] = True
             head = (buf & 0xC0) != 0x80
-            count = np.cumsum(head)
+            count = np.cumsum(head, dtype=np.int32)
             at = np.flatnonzero(start)
-            inner = count - np.repeat(count[at], np.diff(np.append(at, buf.size)))
-            start |= head & (inner % UNIT == 0)
+            count -= np.repeat(count[at], np.diff(np.append(at, buf.size)))
+            start |= head & (count % UNIT == 0)
         self.starts = np.flatnonzero(start)
         self.ends = np.append(self.starts[1:], buf.size) if self.starts.size else self.starts
         self.bounds = np.searchsorted(self.starts, self.offsets)
@@ -116,55 +116,60 @@ def _unpack(data: bytes, sizes: bytes) -> list[bytes]:
     return [raw[a:z] for a, z in itertools.pairwise(cut)]
 
 
+#: A path as one number: pieces, then what scores lack, then (6 bits) 63 less the last piece's length.  An edge has its end above.
+_END, _PIECE, _LENGTH = 1 << 54, 1 << 40, 64
+_WORST = 1 << 20
+
+
+def edge(end: Column, length: Column, pieces: Column, score: Column) -> Column:
+    """The smaller the better at one end; scores are whole numbers from 0 down, anything below -_WORST counts as that."""
+    lack = F.least(-F.coalesce(score, F.lit(-float(_WORST))), F.lit(float(_WORST))).cast("long")
+    return end * F.lit(_END) + pieces * F.lit(_PIECE) + lack * _LENGTH + (63 - length)
+
+
 def viterbi(edges: Column) -> Column:
-    """Bits of the places where pieces of the best path begin; edges hold end, length, pieces and score."""
-    node = lambda k, s, l: F.struct(k.alias("k"), s.alias("s"), l.alias("l"))  # noqa: E731, E741
-    zero = node(F.lit(0), F.lit(0.0), F.lit(0))
-    # done: best paths to all places before end; best: so far to end
-    state = F.struct(F.array(zero).alias("done"), zero.alias("best"), F.lit(0).alias("end"))
+    """Bits of the places where pieces of the best path begin; edges are in order.
+
+    done holds the best paths to places before end, best the best so far to end.
+    """
+    zero = F.lit(0).cast("long")
+    state = F.struct(F.array().cast("array<bigint>").alias("done"), zero.alias("best"), F.lit(0).alias("end"))
 
     def step(a: Column, e: Column) -> Column:
-        done = F.when(e["e"] > a["end"], F.when(a["end"] > 0, F.concat(a["done"], F.array(a["best"]))).otherwise(a["done"])).otherwise(a["done"])
-        before = F.get(done, e["e"] - e["l"])
-        new = node(before["k"] + e["k"], before["s"] + e["s"], e["l"])
-        better = (e["e"] > a["end"]) | (new["k"] < a["best"]["k"]) | ((new["k"] == a["best"]["k"]) & (new["s"] >= a["best"]["s"]))
-        return F.struct(done.alias("done"), F.when(better, new).otherwise(a["best"]).alias("best"), e["e"].alias("end"))
-
-    def walk(a: Column) -> Column:
-        path = F.concat(a["done"], F.array(a["best"]))
-        back = F.aggregate(
-            F.sequence(F.lit(1), F.size(path)),
-            F.struct((F.size(path) - 1).alias("at"), F.lit(0).cast("long").alias("mask")),
-            lambda b, _: F.when(b["at"] <= 0, b).otherwise(F.struct((b["at"] - F.get(path, b["at"])["l"]).alias("at"), (b["mask"] + F.pow(F.lit(2.0), b["at"] - F.get(path, b["at"])["l"]).cast("long")).alias("mask"))),
+        end = F.shiftright(e, 54).cast("int")
+        start = end - 63 + e.bitwiseAND(_LENGTH - 1).cast("int")
+        before = F.when(start == a["end"], a["best"]).otherwise(F.get(a["done"], start))
+        new = before.bitwiseAND(-_LENGTH) + e.bitwiseAND(_END - 1)
+        further = end > a["end"]
+        return F.struct(F.when(further, F.concat(a["done"], F.array(a["best"]))).otherwise(a["done"]).alias("done"), F.when(further, new).otherwise(F.least(a["best"], new)).alias("best"), end.alias("end"))
+
+    def back(path: Column) -> Column:
+        before = lambda at: (at - 63 + F.get(path, at).bitwiseAND(_LENGTH - 1)).cast("int")
+        bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
+        return F.aggregate(
+            path,
+            F.struct((F.size(path) - 1).alias("at"), zero.alias("mask")),
+            lambda b, _: F.when(b["at"] <= 0, b).otherwise(F.struct(before(b["at"]).alias("at"), b["mask"].bitwiseOR(bit(before(b["at"]))).alias("mask"))),
+            lambda b: b["mask"],
         )
-        return back["mask"]
-
-    return F.aggregate(edges, state, step, walk)
 
+    # the array of one path lets it be built once
+    return F.aggregate(edges, state, step, lambda a: F.get(F.transform(F.array(F.concat(a["done"], F.array(a["best"]))), back), F.lit(0)))
 
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
 
+def segmented(units: DataFrame, vocabulary: Vocabulary, partitions: int) -> DataFrame:
+    """(uid, mask) for rows (uid, unit) with unique uids: steps 1 to 4.
 
-def segmented(units: DataFrame, vocabulary: Vocabulary, *keys: str) -> DataFrame:
-    """keys, unit, mask for each row of distinct units: steps 1 to 4."""
-    spark = units.sparkSession
-    table = spark.createDataFrame(vocabulary.rows, "id int, piece string, score double").select("piece", "score")
-    # rows of a unit stay together and in order through both explodes and the broadcast join, so grouping needs no exchange or sort
-    apart = units.select(*keys, "unit").repartition("unit").sortWithinPartitions("unit", *keys)
-    ends = apart.select(*keys, "unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("e"))
-    substrings = ends.select(*keys, "unit", "e", F.explode(F.sequence(F.lit(1), F.least(F.col("e"), F.lit(vocabulary.longest)))).alias("l"))
-    lattice = substrings.withColumn("part", F.expr("substring(unit, e - l + 1, l)")).join(F.broadcast(table), F.col("part") == F.col("piece"), "left").where("score IS NOT NULL OR l = 1")
-    edge = F.struct("e", "l", F.when(F.col("score").isNull(), F.octet_length("part")).otherwise(1).alias("k"), F.coalesce("score", F.lit(-1e12)).alias("s"))
-    grouped = lattice.groupBy("unit", *keys).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    with _setting(spark, "spark.sql.execution.useObjectHashAggregateExec", "false"):
-        return B.materialized(grouped.select(*keys, "unit", viterbi(F.col("edges")).alias("mask")))
+    A unit has some sixty times its size in substrings, so the number of partitions is set by hand.
+    """
+    table = units.sparkSession.createDataFrame(vocabulary.rows, "id int, piece string, score double").select("piece", "score")
+    # a unit's rows stay in its partition through both explodes and the broadcast join, so grouping needs no exchange
+    ends = units.repartition(partitions, "uid").select("uid", "unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("e"))
+    substrings = ends.select("uid", "unit", "e", F.explode(F.sequence(F.lit(1), F.least(F.col("e"), F.lit(vocabulary.longest)))).alias("l"))
+    lattice = substrings.select("uid", "e", "l", F.expr("substring(unit, e - l + 1, l)").alias("part")).join(F.broadcast(table), F.col("part") == F.col("piece"), "left").where("score IS NOT NULL OR l = 1")
+    pieces = F.when(F.col("score").isNull(), F.octet_length("part")).otherwise(1)
+    edges = lattice.select("uid", edge(F.col("e"), F.col("l"), pieces, F.col("score")).alias("edge"))
+    return edges.groupBy("uid").agg(F.array_sort(F.collect_list("edge")).alias("edges")).select("uid", viterbi(F.col("edges")).alias("mask"))
 
 
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
@@ -177,7 +182,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
     buckets = B.n_buckets(spark)
 
     def send(batches):
-        for block in B.iter_blocks(batches):
+        for block in B.iter_blocks(batches, SIZE):
             units = Units(block)
             raw, size = units.gathered()
             cut, at = B.split_sorted(units.values, buckets).tolist(), np.concatenate([[0], np.cumsum(size)])
@@ -185,26 +190,49 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
             columns = list(zip(*rows, strict=True)) if rows else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([block.name] * len(rows), pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["bucket", "block", "units", "sizes"])
 
-    sent = B.materialized(slim.mapInArrow(send, "bucket int, block long, units binary, sizes binary"))
+    sent = slim.mapInArrow(send, "bucket int, block long, units binary, sizes binary")
 
-    def distinct(key, table):
-        seen = {u for units, sizes in zip(table["units"].to_pylist(), table["sizes"].to_pylist(), strict=True) for u in _unpack(units, sizes)}
-        return pa.table({"bucket": pa.array([key[0].as_py()] * len(seen), pa.int32()), "unit": pa.array(list(seen), pa.binary()).cast(pa.string())})
+    def number(key, table):
+        """A bucket's distinct units in order as rows (uid, unit), and for each block the numbers of its units."""
+        lists = [_unpack(units, sizes) for units, sizes in zip(table["units"].to_pylist(), table["sizes"].to_pylist(), strict=True)]
+        units = sorted(set(itertools.chain.from_iterable(lists)))
+        of = dict(zip(units, range(len(units)), strict=True))
+        uses = [B.pack_array(np.fromiter(map(of.__getitem__, x), np.uint32, len(x))) for x in lists]
+        n, m = len(units), len(lists)
+        columns = {
+            "bucket": pa.array([key[0].as_py()] * (n + m), pa.int32()), "uid": pa.concat_arrays([pa.array((key[0].as_py() << 40) + np.arange(n)), pa.nulls(m, pa.int64())]),
+            "unit": pa.concat_arrays([pa.array(units, pa.binary()).cast(pa.string()), pa.nulls(m, pa.string())]), "block": pa.concat_arrays([pa.nulls(n, pa.int64()), table["block"].combine_chunks().cast(pa.int64())]), "uses": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(uses, pa.binary())]),
+        }
+        return pa.table(columns)
 
-    masks = segmented(sent.groupBy("bucket").applyInArrow(distinct, "bucket int, unit string"), vocabulary, "bucket")
+    numbered = B.materialized(sent.groupBy("bucket").applyInArrow(number, "bucket int, uid long, unit string, block long, uses binary"))
+    masks = B.materialized(segmented(numbered.where("uid IS NOT NULL").select("uid", "unit"), vocabulary, buckets).withColumn("bucket", F.shiftright("uid", 40).cast("int")))
 
     def reply(key, table, found):
-        of = dict(zip(found["unit"].cast(pa.binary()).to_pylist(), found["mask"].to_pylist(), strict=True))
-        out = [B.squeeze(B._planes(np.array([of[u] for u in _unpack(units, sizes)], np.uint64), 8)) for units, sizes in zip(table["units"].to_pylist(), table["sizes"].to_pylist(), strict=True)]
+        bits = found["mask"].to_numpy()[np.argsort(found["uid"].to_numpy())].view(np.uint64)
+        out = [B.squeeze(B._planes(bits[B.unpack_array(x)], 8), 1) for x in table["uses"].to_pylist()]
         n = len(out)
         return pa.table({"block": table["block"], "kind": pa.array([MASKS] * n, pa.int32()), "bucket": pa.array([key[0].as_py()] * n, pa.int32()), "reply": pa.array(out, pa.binary())})
 
-    answers = B.materialized(sent.groupBy("bucket").cogroup(masks.groupBy("bucket")).applyInArrow(reply, B.REPLY_SCHEMA))
+    uses = numbered.where("uid IS NULL").select("bucket", "block", "uses")
+    answers = B.materialized(uses.groupBy("bucket").cogroup(masks.groupBy("bucket")).applyInArrow(reply, B.REPLY_SCHEMA))
     hashes, ids_of = vocabulary.lookup()
-    known = spark.sparkContext.broadcast((hashes, ids_of, vocabulary.byte_ids, vocabulary.bytes_of))
+    sizes_of = np.array([len(x) for x in vocabulary.bytes_of])
+    known = spark.sparkContext.broadcast((hashes, ids_of, vocabulary.byte_ids, np.frombuffer(b"".join(vocabulary.bytes_of), np.uint8), np.cumsum(sizes_of) - sizes_of, sizes_of))
+
+    def decodes(raw, begin, end, hit, ids):
+        """Whether each piece's bytes are the ones it stands for; single bytes always are."""
+        _, _, _, data, start, length = known.value
+        same = ~hit | (length[ids] == end - begin)
+        check = np.flatnonzero(hit & same)
+        n = (end - begin)[check]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differs = data[np.repeat(start[ids[check]], n) + inner] != raw[np.repeat(begin[check], n) + inner]
+        same[check] &= np.bincount(np.repeat(np.arange(check.size), n), weights=differs, minlength=check.size) == 0
+        return same
 
     def turn(block, table):
-        hashes, ids_of, byte_ids, bytes_of = known.value
+        hashes, ids_of, byte_ids = known.value[:3]
         units = Units(block)
         raw, size = units.gathered()
         parts = [np.ascontiguousarray(np.frombuffer(B.expand(r), np.uint8).reshape(8, -1).T).view("<u8").ravel() for _, r in sorted(zip(table["bucket"].to_pylist(), table["reply"].to_pylist(), strict=True))]
@@ -224,20 +252,18 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
         of_unit = np.repeat(np.arange(size.size), size)[begin]
         count = np.bincount(of_unit, weights=n, minlength=size.size).astype(np.int64)
         first = np.cumsum(count) - count
-        out_ids, tokens, same = [], np.zeros(block.rows, np.int64), []
-        for i in range(block.rows):
-            mine = units.back[units.bounds[i] : units.bounds[i + 1]]
-            c = count[mine]
-            ids = flat[np.repeat(first[mine] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
-            tokens[i] = ids.size
-            out_ids.append(ids)
-            decoded = b"".join(map(bytes_of.__getitem__, ids.tolist()))
-            same.append(decoded[1:] == block.buf[block.offsets[i] : block.offsets[i + 1]].tobytes())
-        cuts = np.concatenate([[0], np.cumsum(tokens)])
-        lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(np.concatenate(out_ids).astype(np.int32) if out_ids else np.zeros(0, np.int32)))
-        return block.table.append_column("n_tokens", pa.array(tokens)).append_column("ids", lists).append_column("round_trip", pa.array(same, pa.bool_()))
-
-    blocks = B.text_blocks(docs if text == "text" else docs.withColumn("text", F.col(text)), level=9)
+        # a text is its units one after another, so it decodes exactly if the pieces of each have its bytes
+        wrong = np.bincount(of_unit, weights=~decodes(raw, begin, end, hit, ids_of[at]), minlength=size.size) > 0
+        mine = units.back
+        c = count[mine]
+        done = np.cumsum(c)
+        ids = flat[np.repeat(first[mine] - (done - c), c) + np.arange(c.sum())].astype(np.int32)
+        cuts = np.concatenate([[0], done])[units.bounds]
+        bad = np.diff(np.concatenate([[0], np.cumsum(wrong[mine])])[units.bounds])
+        lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
+        return block.table.append_column("n_tokens", pa.array(np.diff(cuts))).append_column("ids", lists).append_column("round_trip", pa.array(bad == 0))
+
+    blocks = B.text_blocks(docs if text == "text" else docs.withColumn("text", F.col(text)), size=SIZE, level=9)
     # a block of empty texts gets no replies; cogroup still brings it
     schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
     return B.with_replies(blocks, answers, turn, schema)
