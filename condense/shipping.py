@@ -12,8 +12,15 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows of long texts make large batches: these bound what a batch takes in the JVM and again in Python.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package's source to the executors once for each application."""
+    """Send the package's source to the executors once for each application, and keep Arrow batches small where the session hasn't set them."""
+    for key, value in BATCHES.items():
+        if spark.sparkContext.getConf().get(key) is None:
+            spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
