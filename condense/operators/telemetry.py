@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Fixed labels of rows that a service writes about itself; they are no rule's savings.
-SYNTHESIS_LABELS = ("mcp-dedup", "mcp-tiered", "mcp-search", "mcp-context", "mcp-explore", "mcp-symbols", "mcp-graph")
+#: Labels of rows that answer questions about a repository; they compress nothing themselves.
+SYNTHESIS_LABELS = ("repo-profile", "repo-symbols", "repo-graph", "repo-dashboard", "repo-explore", "repo-search", "mcp-repo-context")
 NO_FILTER = "(no filter matched)"
 READ_PREFIX = "Read: "
 

@@ -26,11 +26,11 @@ def query(name: str, sql: str | None = None):
 INV = """inv AS (SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN 'Read: ' || event_type ELSE event_type END AS command, '/Proj/U' || (user_id % 7) || '/' AS project_path, '/proj/u' || (user_id % 7) AS key,
   CAST(floor(value * 10) AS BIGINT) AS o,
   CASE WHEN event_type = 'error' THEN CAST(floor(value * 10) AS BIGINT) WHEN event_id % 5 = 0 THEN CAST(floor(value * 10) AS BIGINT) + 3 ELSE CAST(floor(value * 10) AS BIGINT) // 2 END AS f,
-  CASE WHEN event_type <> 'error' THEN CASE WHEN event_id % 13 = 0 THEN 'mcp-dedup' ELSE event_type END END AS filter_name, event_type = 'error' AS pass, CAST(event_id % 17 AS DOUBLE) AS ms, ts FROM events)"""
+  CASE WHEN event_type <> 'error' THEN CASE WHEN event_id % 13 = 0 THEN 'repo-search' ELSE event_type END END AS filter_name, event_type = 'error' AS pass, CAST(event_id % 17 AS DOUBLE) AS ms, ts FROM events)"""
 GAIN = """count(*) AS invocations, CAST(coalesce(sum(o - f), 0) AS BIGINT) AS tokens_saved, CAST(coalesce(sum(o), 0) AS BIGINT) AS tokens_before, CAST(coalesce(sum(f), 0) AS BIGINT) AS tokens_after,
   CAST(coalesce(sum(CASE WHEN NOT pass THEN o END), 0) AS BIGINT) AS eligible_tokens, CAST(coalesce(sum(greatest(o - f, 0)), 0) AS BIGINT) AS gross_savings, CAST(coalesce(sum(greatest(f - o, 0)), 0) AS BIGINT) AS overhead,
   count(*) FILTER (f > o) AS negative_rows, count(*) FILTER (pass) AS passthroughs, count(*) FILTER (starts_with(command, 'Read: ')) AS reads, CASE WHEN count(*) > 0 THEN (count(*) - count(*) FILTER (pass)) / count(*) ELSE 0 END AS hit_rate, count(*) < 5 AS low_sample"""
-OWN = "(filter_name IS NULL OR filter_name <> 'mcp-dedup')"
+OWN = "(filter_name IS NULL OR filter_name <> 'repo-search')"
 ANALYTICS = f"""WITH {INV}, a AS (SELECT coalesce(filter_name, '(no filter matched)') AS label, count(*) AS invocations, CAST(sum(o) AS BIGINT) AS tokens_before, CAST(sum(f) AS BIGINT) AS tokens_after, CAST(sum(o - f) AS BIGINT) AS tokens_saved,
   CAST(sum(CASE WHEN o > 0 THEN o ELSE 0 END) AS BIGINT) AS eligible_before, count(*) FILTER (pass) AS passthroughs, avg(ms) AS avg_duration_ms, avg(CASE WHEN o > 0 THEN 100.0 * (o - f) / o END) AS avg_pct FROM inv GROUP BY 1),
 an AS (SELECT *, 100.0 * invocations / sum(invocations) OVER () AS usage_pct, CASE WHEN eligible_before > 0 THEN 100.0 * tokens_saved / eligible_before END AS aggregate_pct FROM a)"""

@@ -84,7 +84,7 @@ def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/Proj/U"), (F.col("user_id") % 7).cast("string"), F.lit("/")).alias("project_path"),
         original.alias("original_tokens"),
         F.when(passed, original).otherwise(F.when(F.col("event_id") % 5 == 0, original + 3).otherwise(F.floor(original / 2))).cast("long").alias("final_tokens"),
-        F.when(~passed, F.when(F.col("event_id") % 13 == 0, "mcp-dedup").otherwise(F.col("event_type"))).alias("filter_name"),
+        F.when(~passed, F.when(F.col("event_id") % 13 == 0, "repo-search").otherwise(F.col("event_type"))).alias("filter_name"),
         passed.alias("was_passthrough"),
         (F.col("event_id") % 17).cast("double").alias("duration_ms"),
         F.col("ts").alias("recorded_at"),
