@@ -12,6 +12,8 @@ again; ``stable`` writes anything but a plain file scan to the shared folder fir
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 import uuid
 from collections.abc import Iterator
@@ -81,6 +83,13 @@ def id_array(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, type=pa.int64(), mask=ids == NO_ID)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between tasks and would hold it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def iter_blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK, text: str = "text") -> Iterator[Block]:
     """Cut the rows of this task into blocks; the cut depends on the rows alone, not on the batches."""
     context = TaskContext.get()
@@ -102,9 +111,11 @@ def iter_blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK, text: str
             if bytes_held >= size:
                 yield Block(next(name), pa.Table.from_batches(held), text)
                 held, bytes_held = [], 0
-                pa.default_memory_pool().release_unused()
+                trim()
     if held:
         yield Block(next(name), pa.Table.from_batches(held), text)
+    held = []
+    trim()
 
 
 # --- packing -------------------------------------------------------------------------------
@@ -212,6 +223,7 @@ def tally(counted: DataFrame, cap: int = 255, kind: int = 0) -> DataFrame:
     """For rows of ``bucket_rows``: the sum over all blocks of the marks of each value, at most cap, in the order sent."""
 
     def total(key, table):
+        trim()
         names = table["block"].to_numpy()
         values = [unpack_sorted(x.as_py()) for x in table["values"]]
         marks = [unpack_array(x.as_py()).astype(np.int64) for x in table["marks"]]
@@ -239,6 +251,7 @@ def with_replies(blocks: DataFrame, answers: DataFrame, function, schema: str) -
     """function(block, table of its replies) for each block, where they meet by block."""
 
     def meet(key, rows, table):
+        trim()
         return function(open_block(rows["block"][0].as_py(), rows["rows"][0].as_py()), table)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)

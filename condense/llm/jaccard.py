@@ -102,6 +102,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     right = split.join(sets, split["b"] == sets["id"]).select("a", "chunk", "b", "n", "tokens", "held").toDF("a", "chunk", "b", "bn", "btokens", "bheld")
 
     def verify(key, ones, others):
+        B.trim()
         found = []
         size = lambda n: n - -(-num * n // den) + 1
         for n, tokens, held in zip(ones["n"].to_pylist(), ones["tokens"].to_pylist(), ones["held"].to_pylist(), strict=True):

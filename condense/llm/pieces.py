@@ -194,6 +194,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
 
     def number(key, table):
         """A bucket's distinct units in order as rows (uid, unit), and for each block the numbers of its units."""
+        B.trim()
         lists = [_unpack(units, sizes) for units, sizes in zip(table["units"].to_pylist(), table["sizes"].to_pylist(), strict=True)]
         units = sorted(set(itertools.chain.from_iterable(lists)))
         of = dict(zip(units, range(len(units)), strict=True))
@@ -209,6 +210,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
     masks = B.materialized(segmented(numbered.where("uid IS NOT NULL").select("uid", "unit"), vocabulary, buckets).withColumn("bucket", F.shiftright("uid", 40).cast("int")))
 
     def reply(key, table, found):
+        B.trim()
         bits = found["mask"].to_numpy()[np.argsort(found["uid"].to_numpy())].view(np.uint64)
         out = [B.squeeze(B._planes(bits[B.unpack_array(x)], 8), 1) for x in table["uses"].to_pylist()]
         n = len(out)

@@ -90,6 +90,7 @@ def _send_windows(words: Words, buckets: int) -> pa.Table:
 
 def _first_of_all(key, table):
     """For each window sent: 1 if it starts earlier elsewhere."""
+    B.trim()
     parts = [[B.unpack_sorted(x.as_py()) for x in table["a"]], *([B.unpack_array(x.as_py()) for x in table[c]] for c in ("b", "ids", "places"))]
     a, b, ids, places = (np.concatenate(p) for p in parts)
     order = np.lexsort((places, ids, b, a))

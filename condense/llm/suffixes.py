@@ -208,6 +208,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, head: int = 24, seed: int =
         return _send(block.name, rows)
 
     def sort_bucket(key, table):
+        B.trim()
         sizes = [B.unpack_array(x.as_py()) for x in table["sizes"]]
         raw = b"".join(B.expand(x.as_py()) for x in table["content"])
         size, ids = np.concatenate(sizes).astype(np.int64), np.concatenate([B.unpack_array(x.as_py()) for x in table["ids"]])
