@@ -3,11 +3,17 @@
 Base spans are the leftmost non-overlapping matches of four patterns (email, ip, card, phone),
 those that fail the value check dropped.  The value found is a protected entity.  By the
 information-theoretic view a term t discloses an entity e as far as their pointwise mutual
-information log2(p(e, t) / (p(e) p(t))) nears the entity's own information -log2 p(e), which it
-reaches when t never occurs without e.  Documents are the events, over the whole corpus.  Terms are
-words of at least four letters among the ``near`` characters on either side of a mention; one is
-marked there when it is near e in at least ``support`` documents and its information is at least
-``disclosure`` of the entity's.  ``sanitised`` generalises base spans to their kind and removes terms.
+information log2(p(e | t) / p(e)) nears the entity's own information -log2 p(e), which it reaches
+when t never occurs without e.  Documents are the events, over the whole corpus and whole texts.
+Besides the value itself, every mention stands for two wider entities: its group (an email's domain,
+an address's first three bytes, a card's first six or a phone's first five digits) and its kind.
+
+Terms are words of at least four letters.  A term is judged by the documents other than the one it
+is found in: p(e | t) = (n_both - 1 + prior p(e)) / (n_term - 1 + prior), so what is seen together
+in one document only tells nothing, however large the corpus, and there is no other least count.
+Terms whose information on any entity is at least ``disclosure`` of the entity's own are telling;
+every occurrence of one outside base spans is marked, in every document.
+``sanitised`` generalises base spans to their kind and removes terms.
 
 Everything is DataFrame functions.  Matches are found by one replacement with sentinels and one
 split, so positions cost no second search; single characters that the patterns allow between others
@@ -16,7 +22,8 @@ possessive runs with look-behind keep long texts linear.  Sentinels in the input
 control character of the same length, which no pattern accepts.
 
 Counts are partial aggregates and equi-joins on entity and term, so an entity or a word in a third
-of all documents is no large group anywhere.
+of all documents is no large group anywhere.  Entities and terms of a single document are left out of
+the pairs; by the estimate above none of these could be telling.
 
 Cases: null and empty texts have no spans; texts of any length are searched whole; null doc_ids and
 repeated rows are documents like others (spans join on id and text hash); an empty table gives no
@@ -32,9 +39,11 @@ from pyspark.sql import functions as F
 
 from condense.llm.blocks import materialized
 
+#: Telling terms that one broadcast holds at the most.
+BROADCAST = 200_000
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = r"[A-Za-z0-9._%+\x05-]"
-_SPAN = "array<struct<kind:string,start:int,end:int,value:string,left:string,right:string>>"
+_SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
 def _located(text: Column, pattern: str) -> Column:
@@ -42,8 +51,8 @@ def _located(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, "\x01$0\x02"), "[\x01\x02]", -1)
 
 
-def _spans(kind: str, pieces: Column, valid, near: int) -> Column:
-    """Structs of the valid matches with the text next to each."""
+def _spans(kind: str, pieces: Column, valid) -> Column:
+    """Structs of the valid matches."""
     ends = F.aggregate(pieces, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
     both = F.struct(pieces.alias("p"), ends.alias("e"))
     # one evaluation of pieces and ends for all matches
@@ -52,7 +61,7 @@ def _spans(kind: str, pieces: Column, valid, near: int) -> Column:
             F.array(both),
             lambda b: F.transform(
                 F.filter(F.sequence(F.lit(1), F.size(b["p"]) - 2, F.lit(2)), lambda i: valid(F.get(b["p"], i))),
-                lambda i: F.struct(F.lit(kind).alias("kind"), F.get(b["e"], i).alias("start"), F.get(b["e"], i + 1).alias("end"), F.get(b["p"], i).alias("value"), F.right(F.get(b["p"], i - 1), F.lit(near)).alias("left"), F.left(F.get(b["p"], i + 1), F.lit(near)).alias("right")),
+                lambda i: F.struct(F.lit(kind).alias("kind"), F.get(b["e"], i).alias("start"), F.get(b["e"], i + 1).alias("end"), F.get(b["p"], i).alias("value")),
             ),
         )
     )
@@ -80,7 +89,7 @@ def _byte_parts(value: Column) -> Column:
     return F.forall(F.split(value, r"\."), lambda p: (F.length(short(p)) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255))
 
 
-def base_spans(text: Column, near: int = 60) -> Column:
+def base_spans(text: Column) -> Column:
     """All base spans of a text in the order of kinds and starts."""
     text = F.coalesce(text, F.lit(""))
     clean = F.when(text.rlike(r"[\x01\x02\x04\x05]"), F.translate(text, "\x01\x02\x04\x05", "\x03\x03\x03\x03")).otherwise(text)
@@ -90,24 +99,24 @@ def base_spans(text: Column, near: int = 60) -> Column:
     card = _located(F.regexp_replace(clean, "(?<=[0-9])[ -](?=[0-9])", "\x04"), r"[0-9][0-9\x04]+")
     phone = _located(clean, r"\+[0-9][ ().0-9-]+[0-9]")
     return F.concat(
-        F.when(text.contains("@"), _spans("email", email, lambda v: F.lit(True), near)).otherwise(none),
-        F.when(text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), _spans("ip", ip, _byte_parts, near)).otherwise(none),
-        F.when(text.rlike("[0-9](?:[ -]?[0-9]){15}"), _spans("card", card, _luhn, near)).otherwise(none),
-        F.when(text.contains("+"), _spans("phone", phone, lambda v: F.length(_digits(v)).between(8, 15), near)).otherwise(none),
+        F.when(text.contains("@"), _spans("email", email, lambda v: F.lit(True))).otherwise(none),
+        F.when(text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), _spans("ip", ip, _byte_parts)).otherwise(none),
+        F.when(text.rlike("[0-9](?:[ -]?[0-9]){15}"), _spans("card", card, _luhn)).otherwise(none),
+        F.when(text.contains("+"), _spans("phone", phone, lambda v: F.length(_digits(v)).between(8, 15))).otherwise(none),
     )
 
 
-_WORD = r"\p{L}{4,}+"
+def _terms(text: Column, telling: Column) -> Column:
+    """All words of a text that are in telling, with their places."""
+    pieces = _located(F.regexp_replace(text, r"[\x01\x02]", "\x03"), r"\p{L}++")
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("out"))
 
+    def step(a: Column, x: Column) -> Column:
+        end = a["at"] + F.length(x)
+        mark = F.struct(F.lit("term").alias("kind"), a["at"].alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(F.array_contains(telling, F.lower(x)), F.concat(a["out"], F.array(mark))).otherwise(a["out"]).alias("out"))
 
-def _terms(side: Column, offset: Column, inner: str) -> Column:
-    """Words of a side with their places; inner drops a word that the cut or the mention may have split."""
-    pieces = _located(F.regexp_replace(side, r"[\x01\x02]", "\x03"), inner)
-    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-    return F.when(
-        F.size(pieces) > 2,
-        F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), lambda i: F.struct(F.lower(F.get(pieces, i)).alias("term"), (offset + F.get(ends, i)).alias("start"), (offset + F.get(ends, i + 1)).alias("end"))),
-    ).otherwise(F.array().cast("array<struct<term:string,start:int,end:int>>"))
+    return F.aggregate(pieces, state, step, lambda a: a["out"])
 
 
 def words_of(text: str) -> Column:
@@ -115,28 +124,51 @@ def words_of(text: str) -> Column:
     return F.array_distinct(F.split(F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}]+", " ")), " "))
 
 
-def pii_spans(docs: DataFrame, support: int = 3, disclosure: float = 0.9, near: int = 60) -> DataFrame:
+def _entities(base: Column) -> Column:
+    """The distinct values, groups and kinds of a document's spans, hashed."""
+
+    def each(m: Column) -> Column:
+        kind, value = m["kind"], m["value"]
+        group = F.when(kind == "email", F.lower(F.substring_index(value, "@", -1))).when(kind == "ip", F.substring_index(value, ".", 3)).when(kind == "card", F.left(_digits(value), F.lit(6))).otherwise(F.left(_digits(value), F.lit(5)))
+        return F.array(F.xxhash64(F.lit("value"), kind, value), F.xxhash64(F.lit("group"), kind, group), F.xxhash64(F.lit("kind"), kind))
+
+    return F.array_distinct(F.flatten(F.transform(base, each)))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A table written once; with a hint to broadcast it where it has few rows."""
+    table = materialized(table)
+    return F.broadcast(table) if table.count() <= BROADCAST else table
+
+
+def telling_terms(docs: DataFrame, base: DataFrame, disclosure: float, prior: float) -> DataFrame:
+    """The distinct terms that disclose an entity of base's spans."""
+    holders = base.where(F.size("base") > 0).select("words", F.explode(_entities(F.col("base"))).alias("entity"))
+    known = _small(holders.groupBy("entity").agg(F.count("*").alias("n_entity")).where("n_entity > 1"))
+    words = holders.join(known, "entity").select("entity", "n_entity", F.explode("words").alias("term")).where(F.length("term") >= 4)
+    pairs = words.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).where("n_both > 1")
+    every = docs.select(F.explode(words_of("text")).alias("term")).where(F.length("term") >= 4).groupBy("term").agg(F.count("*").alias("n_term"))
+    p = F.col("n_entity") / F.lit(float(base.count()))
+    given = (F.col("n_both") - 1 + prior * p) / (F.col("n_term") - 1 + prior)
+    # both in bits
+    information, own = F.log2(given / p), -F.log2(p)
+    return every.join(pairs, "term").where((own > 0) & (information >= disclosure * own)).select("term").distinct()
+
+
+def pii_spans(docs: DataFrame, disclosure: float = 0.9, prior: float = 1.0) -> DataFrame:
     """doc_id, base and terms: arrays of spans (kind, start, end), for every document."""
     docs = docs.select("doc_id", "text")
-    base = materialized(docs.select("doc_id", F.xxhash64("text").alias("hash"), base_spans(F.col("text"), near).alias("base")))
-    total = base.count()
-    mention = base.where(F.size("base") > 0).select("doc_id", "hash", "base", F.explode("base").alias("m")).withColumn("entity", F.xxhash64("m.kind", "m.value"))
-    known = mention.select("doc_id", "hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
-    around = F.concat(
-        _terms(F.col("m.left"), F.col("m.start") - F.length("m.left"), rf"(?<=[^\p{{L}}]){_WORD}(?!\p{{L}})"),
-        _terms(F.col("m.right"), F.col("m.end"), rf"(?<!\p{{L}}){_WORD}(?=[^\p{{L}}])"),
-    )
-    free = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    terms = materialized(mention.join(known, "entity").select("doc_id", "hash", "entity", "n_entity", F.explode(F.filter(around, free)).alias("t")).select("doc_id", "hash", "entity", "n_entity", "t.*"))
-    pairs = terms.select("doc_id", "hash", "entity", "n_entity", "term").distinct().groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    every = docs.select(F.explode(words_of("text")).alias("term")).where(F.length("term") >= 4).groupBy("term").agg(F.count("*").alias("n_term"))
-    # both in bits: log2(N * n_both / (n_entity * n_term)) against log2(N / n_entity)
-    information, own = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))), F.log2(F.lit(float(total)) / F.col("n_entity"))
-    telling = every.join(pairs, "term").where((own > 0) & (information >= disclosure * own)).select("entity", "term")
-    found = terms.join(telling, ["entity", "term"]).groupBy(F.col("doc_id").alias("i"), F.col("hash").alias("h")).agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text", base_spans(F.col("text")).alias("base"))
+    base = materialized(base.select("doc_id", "hash", "base", F.when(F.size("base") > 0, words_of("text")).alias("words")))
+    telling = _small(telling_terms(docs, base, disclosure, prior))
+    each = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.explode(words_of("text")).alias("term")).where(F.length("term") >= 4)
+    held = each.join(telling, "term", "left_semi").groupBy("doc_id", "hash").agg(F.collect_set("term").alias("telling"))
+    texts = docs.withColumn("hash", F.xxhash64("text")).alias("d").join(held.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.hash") == F.col("h.hash")))
+    found = texts.select(F.col("d.doc_id").alias("i"), F.col("d.hash").alias("h"), _terms(F.col("text"), F.col("telling")).alias("terms")).dropDuplicates(["i", "h"])
     slim = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
     joined = base.join(found, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")), "left")
-    return joined.select("doc_id", "hash", slim.alias("base"), F.coalesce("terms", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("terms"))
+    free = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return joined.select("doc_id", "hash", slim.alias("base"), F.coalesce(free, F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("terms"))
 
 
 def sanitised(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:

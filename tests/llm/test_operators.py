@@ -135,6 +135,15 @@ def test_pii_terms(spark):
     assert clean[3] == "common words and  near <EMAIL> here 3" and clean[105] == rows[11][1]
 
 
+def test_pii_terms_of_whole_texts(spark):
+    """A term far from the value counts, entities are also groups, and each occurrence is marked, without the value too."""
+    far = "common words " * 20
+    rows = [(i, f"Zanzibar {far} user{i}@corp.example {far} zanzibar once{'abcdefgh'[i]}") for i in range(6)] + [(6, f"{far} zanzibar")] + [(100 + i, f"{far} others") for i in range(400)]
+    text = dict(rows)
+    found = {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.terms] for r in pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).where("size(terms) > 0").collect()}
+    assert found == {i: ["Zanzibar", "zanzibar"] for i in range(6)} | {6: ["zanzibar"]}
+
+
 def test_quality_rules(docs, pairs):
     got = perplexity.quality_rules(docs).collect()
     assert bag((r.doc_id, *(r[c] for c in perplexity.STATS), r.base_failed) for r in got) == bag((i, *brute.statistics(t)) for i, t in pairs)
