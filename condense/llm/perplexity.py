@@ -12,7 +12,8 @@ contexts with back-off weights, by binary search.  An order keeps at most 2 ** `
 whatever the corpus; until then every n-gram is in it.
 
 A language's band of log-perplexity is its middle half, over documents that pass the base rules,
-widened on both sides by ``reach`` times its width (``least`` at the least); above and below, documents are rejected.
+widened on both sides by ``reach`` times its width (a middle half narrower than ``least`` nats counts as
+that wide); above and below, documents are rejected.
 
 Cases: a null text has no words; texts without words fail the base rule and have no perplexity;
 a null language is a language of its own; a language with one document has a band around it;
@@ -199,7 +200,7 @@ def base_statistics(block: B.Block, bounds: np.ndarray, h: np.ndarray) -> dict[s
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def quality_rules(docs: DataFrame, order: int = 4, fold: int = 20, reach: float = 6.0, least: float = 0.1) -> DataFrame:
+def quality_rules(docs: DataFrame, order: int = 4, fold: int = 20, reach: float = 2.0, least: float = 0.01) -> DataFrame:
     """doc_id, lang, the base statistics, base_failed, log_perplexity (of a byte), low, high, kept."""
     spark = docs.sparkSession
     ship(spark)

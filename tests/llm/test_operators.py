@@ -179,6 +179,18 @@ def test_perplexity_rejects_noise(spark):
     assert all(r.kept for i, r in got.items() if i < 900 and not r.base_failed)
 
 
+def test_perplexity_bands_follow_the_spread(spark):
+    """Texts a fifth of which is noise lie above the band."""
+    import random
+
+    rng = random.Random(4)
+    v = ["the", "and", "reading", "writing", "over", "under", "house", "tree"]
+    noise = lambda: "".join(chr(rng.randint(65, 122)) for _ in range(7))
+    texts = [[rng.choice(v) for _ in range(200)] for _ in range(80)] + [[noise() if i % 5 == 0 else rng.choice(v) for i in range(200)] for _ in range(2)]
+    got = {r.doc_id: r for r in perplexity.quality_rules(spark.createDataFrame([(i, " ".join(t), "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")).collect()}
+    assert not any(got[i].kept or got[i].base_failed for i in (80, 81))
+
+
 def test_classifier(spark, docs):
     import random
 
