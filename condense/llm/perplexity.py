@@ -6,10 +6,10 @@ n-grams of all words of all documents (blocks send the sum over their distinct w
 the continuation counts of lower orders, the counts of counts behind the discounts, and the
 interpolated probabilities by joins of n-grams with their contexts and their endings.
 
-Scoring uses sorted arrays of 64-bit hashes of (language, n-gram) with probabilities, and of
-contexts with back-off weights, by binary search.  An order keeps at most 2 ** ``fold`` n-grams
-(the most frequent of those that share a slot of a hash), so the broadcast model is bounded
-whatever the corpus; until then every n-gram is in it.
+All documents that are scored are counted, so each of their n-grams of the highest order is in the
+model, and scoring looks it up; it never backs off.  The n-grams are sorted arrays of 64-bit hashes
+of (language, n-gram) with probabilities, in parts of about 2 ** ``fold`` n-grams by hash: each part is a
+broadcast, found by binary search one after the other, and none is left out however many there are.
 
 A language's band of log-perplexity is its middle half, over documents that pass the base rules,
 widened on both sides by ``reach`` times its width (a middle half narrower than ``least`` nats counts as
@@ -129,10 +129,8 @@ def _keys(langs: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return mix(langs ^ mix(grams + U64(0x632BE59BD9B4E019)))
 
 
-def hash_array(table: DataFrame, gram: str, weight: str, value: str, fold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rising hashes of (lang, gram) and their values: at most 2 ** fold."""
-    slot = F.pmod(F.xxhash64("lang", gram, F.lit(9)), F.lit(1 << fold))
-    kept = table.groupBy(slot.alias("slot")).agg(F.max_by(F.struct("lang", F.col(gram).alias("gram"), F.col(value).alias("value")), F.struct(weight, gram)).alias("x")).select("x.*")
+def hash_arrays(table: DataFrame, fold: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rising hashes of (lang, gram) and their logp, for all rows, in parts of about 2 ** fold."""
 
     def pack(batches):
         for batch in batches:
@@ -141,13 +139,17 @@ def hash_array(table: DataFrame, gram: str, weight: str, value: str, fold: int)
             code = batch["lang"].dictionary_encode(null_encoding="encode")
             langs = np.array([_lang_hash(x) for x in code.dictionary.to_pylist()], np.uint64)[code.indices.to_numpy()]
             key = _keys(langs, batch["gram"].to_numpy().astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array([key.tobytes()], pa.binary()), pa.array([batch["value"].to_numpy().astype(np.float32).tobytes()], pa.binary())], ["keys", "values"])
-
-    parts = kept.mapInArrow(pack, "keys binary, values binary").collect()
-    keys = np.frombuffer(b"".join(p["keys"] for p in parts), np.uint64)
-    values = np.frombuffer(b"".join(p["values"] for p in parts), np.float32)
-    order = np.argsort(keys, kind="stable")
-    return keys[order], values[order]
+            yield pa.RecordBatch.from_arrays([pa.array([key.tobytes()], pa.binary()), pa.array([batch["logp"].to_numpy().astype(np.float32).tobytes()], pa.binary())], ["keys", "values"])
+
+    out = []
+    parts = max(1, -(-table.count() // (1 << fold)))
+    for k in range(parts):
+        held = table.where(F.pmod(F.xxhash64("lang", "gram", F.lit(9)), F.lit(parts)) == k).select("lang", "gram", "logp").mapInArrow(pack, "keys binary, values binary").collect()
+        keys = np.frombuffer(b"".join(p["keys"] for p in held), np.uint64)
+        values = np.frombuffer(b"".join(p["values"] for p in held), np.float32)
+        order = np.argsort(keys, kind="stable")
+        out.append((keys[order], values[order]))
+    return out
 
 
 def _find(array: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,19 +160,14 @@ def _find(array: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.nd
     return hashes[at] == keys, values[at]
 
 
-def word_scores(vocabulary: Vocabulary, model, order: int) -> np.ndarray:
-    """The log-probability of each distinct word."""
-    probs, backs = model
+def word_scores(vocabulary: Vocabulary, model: list) -> np.ndarray:
+    """The log-probability of each distinct word, from the broadcast parts of the model."""
     lang = np.array([_lang_hash(x) for x in vocabulary.langs], np.uint64)[vocabulary.lang[vocabulary.word]]
-    out, open_ = np.zeros(vocabulary.grams.size), np.arange(vocabulary.grams.size)
-    for k in range(order, 0, -1):
-        gram = vocabulary.grams[open_] & U64((1 << 8 * k) - 1)
-        found, value = _find(probs[k - 1], _keys(lang[open_], gram))
-        out[open_[found]] += value[found]
-        open_, gram = open_[~found], gram[~found]
-        known, weight = _find(backs[k - 1], _keys(lang[open_], gram >> U64(8)))
-        out[open_] += np.where(known, weight, 0.0)
-    out[open_] -= np.log(256)
+    out, open_, keys = np.zeros(vocabulary.grams.size), np.arange(vocabulary.grams.size), _keys(lang, vocabulary.grams)
+    for part in model:
+        found, value = _find(part.value, keys)
+        out[open_[found]] = value[found]
+        open_, keys = open_[~found], keys[~found]
     return np.bincount(vocabulary.word, weights=out, minlength=vocabulary.steps.size)
 
 
@@ -205,13 +202,13 @@ def quality_rules(docs: DataFrame, order: int = 4, fold: int = 20, reach: float
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text", "lang")
-    probs, backs = kneser_ney(docs, order)
-    model = spark.sparkContext.broadcast(([hash_array(p, "gram", "n", "logp", fold) for p in probs], [hash_array(b, "context", "total", "logb", fold) for b in backs]))
+    probs, _ = kneser_ney(docs, order)
+    model = [spark.sparkContext.broadcast(x) for x in hash_arrays(probs[-1], fold)]
 
     def score(batches):
         for block in B.iter_blocks(batches, SIZE):
             words = Vocabulary(block, order)
-            each = word_scores(words, model.value, order)
+            each = word_scores(words, model)
             sums = np.concatenate([[0.0], np.cumsum(each[words.back])])
             steps = np.concatenate([[0], np.cumsum(words.steps[words.back])])
             n = np.diff(steps[words.bounds])

@@ -191,6 +191,15 @@ def test_perplexity_bands_follow_the_spread(spark):
     assert not any(got[i].kept or got[i].base_failed for i in (80, 81))
 
 
+def test_perplexity_holds_every_ngram(spark):
+    """Many small parts of the model score as one does."""
+    rows = [(i, " ".join(f"{chr(97 + (i * j) % 26)}{chr(97 + j % 26)}{'xyz'[(i + j) % 3]}w" for j in range(1, 30)), ("en", None)[i % 2]) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = ({r.doc_id: r.log_perplexity for r in perplexity.quality_rules(df, fold=f).collect()} for f in (20, 7))
+    assert len(perplexity.hash_arrays(perplexity.kneser_ney(df)[0][-1], 7)) > 2
+    assert all(abs(one[i] - many[i]) < 1e-6 for i in one)
+
+
 def test_classifier(spark, docs):
     import random
 
