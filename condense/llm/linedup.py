@@ -12,12 +12,15 @@ match of t = k + w - 1 lines holds a common fingerprint: the least gram hash of
    (doc_id, line) for each run's pair of 64-bit hashes, never by pairs of positions;
 4. documents drop the lines that such runs cover.
 
+Where a number of words is given, runs of fewer than t lines with at least so many words are candidates
+as well, all of them, without fingerprints; so a long passage on one line is found like one on three.
+
 Fingerprints are counted and first places found by partial aggregation, and joined back by plain
 equi-joins, which split hot keys; so a passage that a third of all documents hold costs as much as
 other rows.
 
 Cases: a null text has no lines and stays null; an empty text is one empty line; documents of
-fewer than t lines lose nothing; ties of doc_id and line (repeated rows) remove nothing from each
+fewer than t lines lose only runs with enough words; ties of doc_id and line (repeated rows) remove nothing from each
 other; null doc_ids come after all others and are told apart by their text only; an empty table
 gives no rows; extra columns stay, columns named like the added ones are replaced.
 """
@@ -42,8 +45,25 @@ def _runs(hashes: Column, size: int, seed: int) -> Column:
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(hashes, i, size), F.lit(seed)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def repeated_lines(docs: DataFrame, k: int = 2, w: int = 2, text: str = "text") -> DataFrame:
-    """(doc_id, lines): the 0-based lines that later repeated runs cover, for documents that have any."""
+def _wordy(docs: DataFrame, most: int, words: int, text: str) -> DataFrame:
+    """(id, at, a, b, size): all runs of 1 .. most lines that hold at least so many words."""
+    count = lambda x: F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda y: y != ""))
+    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), _lines(text).alias("x")).select("id", F.transform("x", lambda x: F.xxhash64(x)).alias("h"), F.transform("x", count).alias("c"))
+
+    def runs(size: int) -> Column:
+        total = lambda i: F.aggregate(F.slice("c", i, size), F.lit(0), lambda a, x: a + x)
+        run = lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice("h", i, size), F.lit(2)).alias("a"), F.hash(F.slice("h", i, size), F.lit(3)).alias("b"), F.lit(size).alias("size"))
+        return F.when(F.size("h") >= size, F.transform(F.filter(F.sequence(F.lit(1), F.size("h") - (size - 1)), lambda i: total(i) >= words), run)).otherwise(F.array())
+
+    each = [runs(size) for size in range(1, most + 1)]
+    return rows.select("id", F.explode(F.concat(*each)).alias("r")).select("id", "r.*")
+
+
+def repeated_lines(docs: DataFrame, k: int = 2, w: int = 2, text: str = "text", words: int | None = None) -> DataFrame:
+    """(doc_id, lines): the 0-based lines that later repeated runs cover, for documents that have any.
+
+    words: shorter runs count too, down to single lines, where they hold at least so many words.
+    """
     t = k + w - 1
     hashes = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.transform(_lines(text), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= t)
     grams = hashes.select("id", "h", _runs(F.col("h"), k, 1).alias("g"))
@@ -67,16 +87,21 @@ def repeated_lines(docs: DataFrame, k: int = 2, w: int = 2, text: str = "text")
         ).alias("runs"),
     )
     often = marks.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
-    runs = materialized(marks.join(often, "f", "left_semi").select("id", F.explode("runs").alias("r")).select("id", "r.at", "r.a", "r.b").distinct())
+    runs = marks.join(often, "f", "left_semi").select("id", F.explode("runs").alias("r")).select("id", "r.at", "r.a", "r.b")
+    size = F.lit(t)
+    if words is not None and t > 1:
+        runs = runs.withColumn("size", size).unionByName(_wordy(docs, t - 1, words, text))
+        size = F.col("size")
+    runs = materialized(runs.distinct())
     first = runs.groupBy("a", "b").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = runs.join(first, ["a", "b"]).where(F.struct("id", "at") > F.col("first"))
-    return later.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + (t - 1)))))).alias("lines"))
+    return later.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + (size - 1)))))).alias("lines"))
 
 
-def line_dedup(docs: DataFrame, k: int = 2, w: int = 2, text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, k: int = 2, w: int = 2, text: str = "text", words: int | None = None) -> DataFrame:
     """docs with repeated runs of lines deleted from the text, and n_lines, n_removed."""
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "__lines")]
-    found = repeated_lines(docs, k, w, text).select(F.col("id").alias("__id"), F.col("lines").alias("__lines"))
+    found = repeated_lines(docs, k, w, text, words).select(F.col("id").alias("__id"), F.col("lines").alias("__lines"))
     both = docs.select(*keep).join(found.hint("shuffle_hash"), F.coalesce(docs["doc_id"], F.lit(LAST)) == F.col("__id"), "left")
     lines = _lines(text)
     kept = F.when(

@@ -88,6 +88,22 @@ def test_lines(docs, pairs, k, w):
     assert len(rows) == len(pairs)
 
 
+def test_lines_by_words(docs, pairs):
+    """Runs of one or two lines with 50 words are found like runs of three."""
+    long = lambda run: len(run) == 3 or sum(map(len, map(brute.words, run))) >= 50
+    at = [(brute.order(i), s, tuple(x[s : s + n])) for i, t in pairs if t is not None for x in [t.split("\n")] for n in (1, 2, 3) for s in range(len(x) - n + 1)]
+    first = {}
+    for i, s, run in at:
+        if long(run):
+            first[run] = min(first.get(run, (i, s)), (i, s))
+    gone = {(i, s + k) for i, s, run in at if long(run) and first[run] < (i, s) for k in range(len(run))}
+    want = [(i, t if t is None else "\n".join(x for s, x in enumerate(t.split("\n")) if (i, s) not in gone)) for i, t in pairs if i is not None]
+    cut = [(r.doc_id, r.text) for r in linedup.line_dedup(docs, words=50).collect()]
+    assert bag(x for x in cut if x[0] is not None) == bag(want)
+    passage = Counter(x for _, t in pairs for x in (t or "").split("\n") if len(brute.words(x)) == 60).most_common(1)[0]
+    assert passage[1] == 12 and sum(passage[0] in (t or "") for _, t in cut) == 1
+
+
 def test_lines_is_native(docs):
     plan = linedup.line_dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
