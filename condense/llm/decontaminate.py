@@ -8,7 +8,8 @@ one by one, so a hash collision is never reported.  All documents of a chunk mov
 array operation for one step of each.
 
 Cases: a null or empty text has no words and is clean; items without words are no patterns;
-equal windows of several items count for each of them; repeated item_ids count once; an empty
+equal windows of several items count for each of them; repeated item_ids count once; rows
+with a null item_id are together one item, which n_items counts and only the ids leave out; an empty
 benchmark leaves all documents clean; very long texts are searched whole.
 
 The patterns are broadcast in chunks of at most ``MAX_PATTERNS`` windows; a larger benchmark is
@@ -118,8 +119,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, text: str
     ship(spark)
     names = {}
     for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).toLocalIterator():
-        if row.i is not None:
-            names.setdefault(row.i, []).append(row.t)
+        names.setdefault(row.i, []).append(row.t)
     items = [(i, t) for i, ts in names.items() for t in ts]
     labels = [i for i, _ in items]
     chunks = compile_patterns(items, k)
@@ -130,7 +130,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, text: str
         for block in iter_blocks(batches):
             if searches is None:
                 searches = [[Search(p) for p in b.value[0]] for b in shared]
-            n_words, n_hit, hits = np.zeros(block.rows, np.int64), np.zeros(block.rows, np.int64), [()] * block.rows
+            n_words, n_hit, n_items, hits = *(np.zeros(block.rows, np.int64) for _ in range(3)), [()] * block.rows
             at = 0
             while at < block.rows:
                 upto = max(at + 1, int(np.searchsorted(block.offsets, block.offsets[at] + 2 * GROUP, "right")) - 1)
@@ -148,9 +148,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, text: str
                             covered.update(range(place, place + search.m))
                             which.update(labels[i] for i in search.items[p])
                 for doc, (covered, which) in found.items():
-                    n_hit[at + doc], hits[at + doc] = len(covered), tuple(sorted(which))
+                    n_hit[at + doc], n_items[at + doc], hits[at + doc] = len(covered), len(which), tuple(sorted(which - {None}))
                 at = upto
-            found = [pa.array(n_words), pa.array(n_hit), pa.array([len(h) for h in hits], pa.int64()), pa.array([hashlib.sha256(",".join(h).encode()).hexdigest() for h in hits]), pa.array(n_hit > 0), pa.array([list(h) for h in hits], pa.list_(pa.string()))]
+            found = [pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array([hashlib.sha256(",".join(h).encode()).hexdigest() for h in hits]), pa.array(n_hit > 0), pa.array([list(h) for h in hits], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*(block.table[c].combine_chunks() for c in keep), *found], [*keep, *FOUND])
 
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType(), T.ArrayType(T.StringType())]

@@ -125,6 +125,15 @@ def test_decontamination(spark, docs, pairs):
     assert not decontaminate.contamination(docs, bench.where("false")).where("contaminated").count()
 
 
+def test_decontamination_null_item(spark):
+    """A null item_id hits like others, as in the SQL; only the ids leave it out."""
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x y z"), (3, "c d")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "b c"), (None, "c d"), (7, "a b")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated, r["items"], r.items_sha256) for r in decontaminate.contamination(docs, bench).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {1: (4, 2, True, ["7"], sha("7")), 2: (0, 0, False, [], sha("")), 3: (2, 1, True, [], sha(""))}
+
+
 def test_pii(docs, pairs):
     got = {(r.doc_id, r.hash): [tuple(s) for s in r.base] for r in pii.pii_spans(docs).collect()}
     hashes = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
