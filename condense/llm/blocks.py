@@ -1,13 +1,16 @@
 """Documents in blocks, and the exchange of hashes between blocks and buckets.
 
-A block is a run of rows of one input partition with about ``BLOCK`` bytes of text, named by
-(partition, place).  Operators that compare all documents send *distinct hashes of a block*
-to hash-range buckets, packed as sorted differences, and get back one small array for each
-(block, bucket).  A value that a third of all documents hold is thus one entry for each block,
-never one for each document, and no row grows with the size of a group.
-
-Block names repeat only if the input gives the same rows in the same order when it is read
-again; ``stable`` writes anything but a plain file scan to the shared folder first.
+A block is some rows with about ``BLOCK`` bytes of text.  ``block_table`` cuts the documents into
+blocks once, in one job, and writes them squeezed, a row for each with its name; every later job
+reads that table, so names, rows and their order stay the same however Spark splits its files and
+whichever executors are lost or join in between.
+
+Operators that compare all documents send *distinct hashes of a block* to hash-range buckets,
+packed as sorted differences, and get back one small array for each (block, bucket).  A value that a
+third of all documents hold is thus one entry for each block, never one for each document, and no
+row grows with the size of a group.  The number of buckets follows the bytes of the texts.
+
+doc_id must be a whole number or null; 2 ** 63 - 1 stands for null and turns to it.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from condense.llm.textkit import U64, buffer_of
 
@@ -46,23 +50,52 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialized(df: DataFrame) -> DataFrame:
+_written: list[tuple[SparkSession, str]] = []
+
+
+def materialized(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: later reads survive lost executors and don't compute it again."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    _written.append((df.sparkSession, path))
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._condense_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    gone = {t._condense_path for t in tables}
+    for spark, path in [x for x in _written if x[1] in gone]:
+        _written.remove((spark, path))
+        _delete(spark, path)
+
 
+@contextlib.contextmanager
+def scratch(keep: list[DataFrame]):
+    """Delete the tables written inside when it ends, but for those put into keep."""
+    before = len(_written)
+    yield
+    kept = {t._condense_path for t in keep}
+    for entry in [x for x in _written[before:] if x[1] not in kept]:
+        _written.remove(entry)
+        _delete(*entry)
 
-def stable(df: DataFrame) -> DataFrame:
-    """df if it only scans and filters files, else its written copy."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    plain = all(line.lstrip(" +-:").startswith(("Project", "Filter", "Relation")) for line in plan.splitlines() if line.strip())
-    return df if plain else materialized(df)
 
+#: Text behind the values of one bucket; a bucket's arrays take several times as much.
+BUCKET = 128 << 20
 
-def n_buckets(spark: SparkSession, factor: int = 3) -> int:
-    """Buckets grow with the shuffle partitions that the session asks for, as its input does."""
-    return max(96, factor * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+def n_buckets(table: DataFrame, factor: int = 3) -> int:
+    """As many buckets as the bytes of a block table ask for, and enough for all cores."""
+    spark = table.sparkSession
+    size = table.agg(F.sum("bytes")).first()[0] or 0
+    return max(96, factor * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
 
 
 class Block:
@@ -90,10 +123,16 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Bits of a row's number in its block, and of a block's in its partition.
+ROW_BITS = 20
+MOST_ROWS = 1 << 16
+
+
 def iter_blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK, text: str = "text") -> Iterator[Block]:
-    """Cut the rows of this task into blocks; the cut depends on the rows alone, not on the batches."""
+    """Cut the rows of this task into blocks of about size bytes and at most MOST_ROWS rows, whatever the batches are."""
     context = TaskContext.get()
-    name = itertools.count((context.partitionId() if context else 0) << 24)
+    name = itertools.count((context.partitionId() if context else 0) << ROW_BITS)
+    rows_held = 0
     held: list[pa.RecordBatch] = []
     bytes_held = 0
     for batch in batches:
@@ -104,13 +143,14 @@ def iter_blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK, text: str
         total = np.cumsum(sizes)
         while at < batch.num_rows:
             done = int(total[at - 1]) if at else 0
-            upto = min(batch.num_rows, int(np.searchsorted(total, done + size - bytes_held, "left")) + 1)
+            upto = min(batch.num_rows, at + MOST_ROWS - rows_held, int(np.searchsorted(total, done + size - bytes_held, "left")) + 1)
             held.append(batch.slice(at, upto - at))
             bytes_held += int(total[upto - 1]) - done
+            rows_held += upto - at
             at = upto
-            if bytes_held >= size:
+            if bytes_held >= size or rows_held >= MOST_ROWS:
                 yield Block(next(name), pa.Table.from_batches(held), text)
-                held, bytes_held = [], 0
+                held, bytes_held, rows_held = [], 0, 0
                 trim()
     if held:
         yield Block(next(name), pa.Table.from_batches(held), text)
@@ -175,26 +215,40 @@ def split_sorted(values: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(values, bounds), [values.size]])
 
 
-TEXT_SCHEMA = "block long, rows binary"
+TEXT_SCHEMA = "block long, n int, bytes long, rows binary"
 
 
-def text_blocks(docs: DataFrame, size: int = BLOCK, level: int = 3) -> DataFrame:
-    """One row for each block with its squeezed rows; read back by ``open_block``."""
+def block_table(docs: DataFrame, size: int | None = None, level: int = 3) -> DataFrame:
+    """One written row for each block: its name, rows, bytes of text, and its squeezed rows."""
+    size = size or BLOCK
 
     def pack(batches):
         for block in iter_blocks(batches, size):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, block.table.schema) as out:
                 out.write_table(block.table.combine_chunks())
-            yield pa.RecordBatch.from_arrays([pa.array([block.name], pa.int64()), pa.array([squeeze(sink.getvalue().to_pybytes(), level)], pa.binary())], ["block", "rows"])
+            rows = squeeze(sink.getvalue().to_pybytes(), level)
+            yield pa.RecordBatch.from_arrays([pa.array([block.name], pa.int64()), pa.array([block.rows], pa.int32()), pa.array([block.buf.size], pa.int64()), pa.array([rows], pa.binary())], ["block", "n", "bytes", "rows"])
 
-    return docs.mapInArrow(pack, TEXT_SCHEMA)
+    return materialized(docs.mapInArrow(pack, TEXT_SCHEMA), "none")
 
 
 def open_block(name: int, rows: bytes) -> Block:
     return Block(name, pa.ipc.open_stream(pa.py_buffer(expand(rows))).read_all())
 
 
+def each_block(table: DataFrame, function, schema) -> DataFrame:
+    """The record batches that function(block) yields, for all blocks of a written table."""
+
+    def run(batches):
+        for batch in batches:
+            for name, rows in zip(batch["block"], batch["rows"], strict=True):
+                yield from function(open_block(name.as_py(), rows.as_py()))
+                trim()
+
+    return table.select("block", "rows").mapInArrow(run, schema)
+
+
 # --- which hashes repeat -------------------------------------------------------------------
 
 #: Bits of a hash that are compared; more than enough for a filter whose results are verified.
@@ -216,7 +270,7 @@ def bucket_rows(name: int, values: np.ndarray, marks: np.ndarray, buckets: int)
 
 
 BUCKET_SCHEMA = "bucket int, block long, values binary, marks binary"
-REPLY_SCHEMA = "block long, kind int, bucket int, reply binary"
+REPLY_SCHEMA = "block long, kind int, bucket long, reply binary"
 
 
 def tally(counted: DataFrame, cap: int = 255, kind: int = 0) -> DataFrame:
@@ -236,7 +290,7 @@ def tally(counted: DataFrame, cap: int = 255, kind: int = 0) -> DataFrame:
         answer = np.empty(every.size, sums.dtype)
         answer[order] = sums[group]
         cuts = np.cumsum([v.size for v in values])[:-1]
-        return pa.table({"block": pa.array(names, pa.int64()), "kind": pa.array([kind] * len(names), pa.int32()), "bucket": pa.array([key[0].as_py()] * len(names), pa.int32()), "reply": pa.array([pack_array(x) for x in np.split(answer, cuts)], pa.binary())})
+        return pa.table({"block": pa.array(names, pa.int64()), "kind": pa.array([kind] * len(names), pa.int32()), "bucket": pa.array([key[0].as_py()] * len(names), pa.int64()), "reply": pa.array([pack_array(x) for x in np.split(answer, cuts)], pa.binary())})
 
     return counted.groupBy("bucket").applyInArrow(total, REPLY_SCHEMA)
 
@@ -248,10 +302,10 @@ def replies(table: pa.Table, kind: int) -> np.ndarray | None:
 
 
 def with_replies(blocks: DataFrame, answers: DataFrame, function, schema: str) -> DataFrame:
-    """function(block, table of its replies) for each block, where they meet by block."""
+    """function(block, table of its replies) for each block of a written table, where they meet by block."""
 
     def meet(key, rows, table):
         trim()
         return function(open_block(rows["block"][0].as_py(), rows["rows"][0].as_py()), table)
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
+    return blocks.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)

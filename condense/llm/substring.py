@@ -13,8 +13,8 @@ occurs once proves nothing repeats around it.
    window (128 bits of hash), the block's earliest place; buckets reply whether it is the first of all;
 3. blocks mark windows that start after the first place, and drop the words these cover.
 
-A passage in a third of all documents is one entry for each block in 1 and 2.  Texts travel
-squeezed, one row for each block, to meet the replies.
+A passage in a third of all documents is one entry for each block in 1 and 2.  Blocks are cut and
+written once; their rows travel squeezed to meet the replies.
 
 Cases: null and empty texts have no words and become empty; texts shorter than a window lose
 nothing; rows that repeat both doc_id and text don't remove each other; null doc_ids come after
@@ -102,7 +102,7 @@ def _first_of_all(key, table):
     late[order] = (ids != ids[first]) | (places != places[first])
     cuts = np.cumsum([x.size for x in parts[0]])[:-1]
     n = table.num_rows
-    return pa.table({"block": table["block"], "kind": pa.array([FIRSTS] * n, pa.int32()), "bucket": pa.array([key[0].as_py()] * n, pa.int32()), "reply": pa.array([B.pack_array(x) for x in np.split(late, cuts)], pa.binary())})
+    return pa.table({"block": table["block"], "kind": pa.array([FIRSTS] * n, pa.int32()), "bucket": pa.array([key[0].as_py()] * n, pa.int64()), "reply": pa.array([B.pack_array(x) for x in np.split(late, cuts)], pa.binary())})
 
 
 def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -111,24 +111,23 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
         raise ValueError(f"window must be over {PERIOD} words")
     spark = docs.sparkSession
     ship(spark)
-    docs = B.stable(docs.drop("n_words", "n_removed"))
-    buckets = B.n_buckets(spark)
+    docs = docs.drop("n_words", "n_removed")
+    blocks = B.block_table(docs)
+    buckets = B.n_buckets(blocks)
 
-    def send_anchors(batches):
-        for block in B.iter_blocks(batches):
-            words = Words(block, window)
-            if words.anchors.size:
-                yield B.bucket_rows(block.name, words.anchors, np.minimum(words.times, 2).astype(np.uint8), buckets)
+    def send_anchors(block):
+        words = Words(block, window)
+        if words.anchors.size:
+            yield B.bucket_rows(block.name, words.anchors, np.minimum(words.times, 2).astype(np.uint8), buckets)
 
-    slim = docs.select("doc_id", "text")
-    often = B.materialized(B.tally(slim.mapInArrow(send_anchors, B.BUCKET_SCHEMA), cap=2, kind=ANCHORS))
+    often = B.materialized(B.tally(B.each_block(blocks, send_anchors, B.BUCKET_SCHEMA), cap=2, kind=ANCHORS))
 
     def send_windows(block, table):
         words = Words(block, window)
         words.candidates(B.replies(table, ANCHORS))
         return _send_windows(words, buckets)
 
-    sent = B.with_replies(B.text_blocks(slim), often, send_windows, WINDOW_SCHEMA)
+    sent = B.with_replies(blocks, often, send_windows, WINDOW_SCHEMA)
     late = B.materialized(sent.groupBy("bucket").applyInArrow(_first_of_all, B.REPLY_SCHEMA))
 
     def cut(block, table):
@@ -150,7 +149,7 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
         return table.append_column("n_words", pa.array(np.diff(words.bounds))).append_column("n_removed", pa.array(np.diff(removed)))
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return B.with_replies(B.text_blocks(docs), often.unionByName(late), cut, schema)
+    return B.with_replies(blocks, often.unionByName(late), cut, schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -10,9 +10,10 @@ choose the same place, and a suffix stands for all strings that choose it (about
 2. the rest travel as the bytes that their strings cover, each distinct one of a block once with
    its smallest doc_id, to buckets that sampled splitters cut out of the order of heads.  A bucket
    sorts its strings by multikey quicksort (eight bytes at a time, only ties go on) and finds
-   equal ones next to each other.  Splitters cut between different heads, and equal strings have
-   the same head, so a comparison across the boundary of two buckets never finds a match: the
-   first suffix of a bucket differs from the last of the one before within its head;
+   equal ones next to each other.  A head that fills more than one bucket (runs of blanks, rules of
+   tables) is split below itself: its strings travel one by one, dealt by all their bytes.  So equal
+   strings always lie in one bucket, and comparing the last string of a bucket with the first of the
+   next can't find a match: they differ within the head or, in a split head, within the string;
 3. blocks learn for each string sent whether a smaller doc_id holds it, and cut the bytes.
 
 A passage in a third of all documents is one record for each block.
@@ -27,6 +28,8 @@ are replaced.
 from __future__ import annotations
 
 import itertools
+from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,8 @@ from condense.llm.textkit import _BASE, _INVERSE, _TABLE, GROUP, U64, covered, m
 from condense.shipping import ship
 
 HEADS, BITS = 1, 2
-#: Documents whose heads are sampled for splitters, and heads taken of each.
-SAMPLE, EACH = 4000, 16
+#: Blocks whose heads are sampled for splitters, and heads taken of each.
+SAMPLE, EACH = 256, 512
 
 
 class Suffixes:
@@ -92,16 +95,26 @@ class Suffixes:
         fresh[1:] = (ids[1:] != ids[:-1]) | (back[1:] != back[:-1])
         return np.minimum(np.bincount(back[fresh], minlength=self.values.size), 2).astype(np.uint8)
 
-    def records(self, often: np.ndarray | None, splitters: np.ndarray):
-        """Distinct bytes of repeated suffixes with their smallest doc_id, by bucket; and (record, suffix) pairs."""
+    def records(self, often: np.ndarray | None, splitters: np.ndarray, hot: dict[bytes, int]):
+        """Distinct bytes of repeated suffixes with their smallest doc_id, by bucket; and for each (record, first start, strings, id)."""
         live = np.flatnonzero(often[self.back] >= 2) if often is not None else np.zeros(0, np.int64)
         data, length = self.block.buf.tobytes() if live.size else b"", self.length
         heads = np.array([data[p : p + self.head] for p in self.place[live].tolist()], dtype=f"S{self.head}")
-        bucket = np.searchsorted(splitters, heads, "right").tolist()
+        bucket = np.searchsorted(splitters, heads, "right")
+        first, last, ids = self.first[live], self.last[live], self.ids[live]
+        if hot:
+            # one record for each string of a hot head: equal strings still meet, and no head fills a bucket
+            spread = np.array([hot.get(h, 0) for h in heads.tolist()])
+            n = np.where(spread > 0, last - first + 1, 1)
+            at = np.repeat(np.arange(n.size), n)
+            single = spread[at] > 0
+            begin = first[at] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            first, last, ids = np.where(single, begin, first[at]), np.where(single, begin, last[at]), ids[at]
+            bucket = bucket[at] + np.array([(crc32(data[a : a + length]) % k) << 20 if k else 0 for a, k in zip(first.tolist(), spread[at].tolist(), strict=True)], np.int64)
         seen: dict[bytes, int] = {}
         rows: list[list] = []
-        of = np.empty(live.size, np.int64)
-        for k, (a, z, i, b) in enumerate(zip(self.first[live].tolist(), self.last[live].tolist(), self.ids[live].tolist(), bucket, strict=True)):
+        of = np.empty(first.size, np.int64)
+        for k, (a, z, i, b) in enumerate(zip(first.tolist(), last.tolist(), ids.tolist(), bucket.tolist(), strict=True)):
             content = data[a : z + length]
             r = seen.setdefault(content, len(rows))
             if r == len(rows):
@@ -109,10 +122,10 @@ class Suffixes:
             elif i < rows[r][2]:
                 rows[r][2] = i
             of[k] = r
-        return rows, live, of
+        return rows, first, ids, of
 
 
-RECORD_SCHEMA = "bucket int, block long, content binary, sizes binary, ids binary"
+RECORD_SCHEMA = "bucket long, block long, content binary, sizes binary, ids binary"
 
 
 def _send(name: int, rows: list[list]) -> pa.Table:
@@ -122,7 +135,7 @@ def _send(name: int, rows: list[list]) -> pa.Table:
         members = list(group)
         out.append((b, name, B.squeeze(b"".join(rows[r][1] for r in members)), B.pack_array(np.array([len(rows[r][1]) for r in members], np.int32)), B.pack_array(np.array([rows[r][2] for r in members], np.int64))))
     columns = list(zip(*out, strict=True)) if out else [()] * 5
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "block", "content", "sizes", "ids"])
 
 
@@ -180,31 +193,32 @@ def suffix_dedup(docs: DataFrame, length: int = 50, head: int = 24, seed: int =
     """All columns of docs, and kept (binary), n_bytes, n_removed, n_spans."""
     spark = docs.sparkSession
     ship(spark)
-    docs = B.stable(docs.drop("kept", "n_bytes", "n_removed", "n_spans"))
-    slim = docs.select("doc_id", "text")
-    buckets = B.n_buckets(spark)
-
-    def heads_of(batches):
-        for block in B.iter_blocks(batches):
-            found, rng = Suffixes(block, length, head), np.random.Generator(np.random.PCG64([seed, block.name]))
-            some = found.place[rng.random(found.place.size) < min(1.0, EACH * block.rows / max(1, found.place.size))]
-            yield pa.RecordBatch.from_arrays([pa.array([block.buf[p : p + head].tobytes() for p in some.tolist()], pa.binary())], ["head"])
-
-    total = max(1, slim.count())
-    sampled = sorted(r[0] for r in slim.sample(False, min(1.0, SAMPLE / total), seed).mapInArrow(heads_of, "head binary").toLocalIterator())
-    cuts = sorted({bytes(sampled[len(sampled) * i // buckets]) for i in range(1, buckets)}) if sampled else []
-    splitters = np.array(cuts, dtype=f"S{head}")
-
-    def send_heads(batches):
-        for block in B.iter_blocks(batches):
-            found = Suffixes(block, length, head)
-            if found.values.size:
-                yield B.bucket_rows(block.name, found.values, found.holders(), buckets)
-
-    often = B.materialized(B.tally(slim.mapInArrow(send_heads, B.BUCKET_SCHEMA), cap=2, kind=HEADS))
+    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
+    blocks = B.block_table(docs)
+    buckets = B.n_buckets(blocks)
+    # splitters from at most SAMPLE blocks, EACH suffixes of each
+    share = max(1, blocks.count() // SAMPLE)
+
+    def heads_of(block):
+        found, rng = Suffixes(block, length, head), np.random.Generator(np.random.PCG64([seed, block.name]))
+        some = rng.permutation(found.place)[:EACH]
+        yield pa.RecordBatch.from_arrays([pa.array([block.buf[p : p + head].tobytes() for p in some.tolist()], pa.binary())], ["head"])
+
+    sampled = sorted(r[0] for r in B.each_block(blocks.where(F.pmod(F.xxhash64("block", F.lit(seed)), F.lit(share)) == 0), heads_of, "head binary").toLocalIterator())
+    quantiles = [bytes(sampled[len(sampled) * i // buckets]) for i in range(1, buckets)] if sampled else []
+    splitters = np.array(sorted(set(quantiles)), dtype=f"S{head}")
+    # a head that several quantiles fall on fills more than a bucket: its strings go one by one, dealt by their bytes
+    hot = {h: n for h, n in Counter(quantiles).items() if n > 1}
+
+    def send_heads(block):
+        found = Suffixes(block, length, head)
+        if found.values.size:
+            yield B.bucket_rows(block.name, found.values, found.holders(), buckets)
+
+    often = B.materialized(B.tally(B.each_block(blocks, send_heads, B.BUCKET_SCHEMA), cap=2, kind=HEADS))
 
     def send_records(block, table):
-        rows, _, _ = Suffixes(block, length, head).records(B.replies(table, HEADS), splitters)
+        rows, _, _, _ = Suffixes(block, length, head).records(B.replies(table, HEADS), splitters, hot)
         return _send(block.name, rows)
 
     def sort_bucket(key, table):
@@ -225,9 +239,9 @@ def suffix_dedup(docs: DataFrame, length: int = 50, head: int = 24, seed: int =
         late = (first[place] < np.repeat(ids, n)).astype(np.uint8)
         cut = np.cumsum([int(s.sum()) - (length - 1) * s.size for s in sizes])[:-1]
         n = table.num_rows
-        return pa.table({"block": table["block"], "kind": pa.array([BITS] * n, pa.int32()), "bucket": pa.array([key[0].as_py()] * n, pa.int32()), "reply": pa.array([B.pack_array(x) for x in np.split(late, cut)], pa.binary())})
+        return pa.table({"block": table["block"], "kind": pa.array([BITS] * n, pa.int32()), "bucket": pa.array([key[0].as_py()] * n, pa.int64()), "reply": pa.array([B.pack_array(x) for x in np.split(late, cut)], pa.binary())})
 
-    sent = B.with_replies(B.text_blocks(slim), often, send_records, RECORD_SCHEMA)
+    sent = B.with_replies(blocks, often, send_records, RECORD_SCHEMA)
     late = B.materialized(sent.groupBy("bucket").applyInArrow(sort_bucket, B.REPLY_SCHEMA))
 
     def cut(block, table):
@@ -235,16 +249,16 @@ def suffix_dedup(docs: DataFrame, length: int = 50, head: int = 24, seed: int =
         bits = B.replies(table, BITS)
         if bits is not None:
             found = Suffixes(block, length, head)
-            rows, live, of = found.records(B.replies(table, HEADS), splitters)
+            rows, first, ids, of = found.records(B.replies(table, HEADS), splitters, hot)
             strings = np.array([len(r[1]) - length + 1 for r in rows])
             order = np.array(sorted(range(len(rows)), key=lambda r: rows[r][0]))
             begin = np.empty(len(rows), np.int64)
             begin[order] = np.cumsum(strings[order]) - strings[order]
-            own = found.ids[live] == np.array([r[2] for r in rows])[of]
+            own = ids == np.array([r[2] for r in rows], np.int64)[of]
             n = strings[of]
             offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             out = ~np.repeat(own, n) | (bits[np.repeat(begin[of], n) + offset] > 0)
-            gone = covered(gone.size, np.sort((np.repeat(found.first[live], n) + offset)[out]), length)
+            gone = covered(gone.size, np.sort((np.repeat(first, n) + offset)[out]), length)
         keep = ~gone
         kept_at = np.concatenate([[0], np.cumsum(keep)])[block.offsets]
         kept = block.buf[keep].tobytes()
@@ -259,7 +273,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, head: int = 24, seed: int =
         return table.append_column("n_bytes", pa.array(n_bytes)).append_column("n_removed", pa.array(n_bytes - np.diff(kept_at))).append_column("n_spans", pa.array(spans))
 
     schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))])
-    return B.with_replies(B.text_blocks(docs), often.unionByName(late), cut, schema)
+    return B.with_replies(blocks, often.unionByName(late), cut, schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -17,12 +17,12 @@ def order(i):
 
 
 def jaccard(docs, k, num, den):
-    """{row: (set size, smallest id reachable)} for rows [(doc_id, text)]."""
+    """(set size, smallest id reachable, links) for rows [(doc_id, text)]."""
     sets = []
     for _, text in docs:
         w = words((text or "").translate(LOWER))
         sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
-    parent = list(range(len(docs)))
+    parent, links = list(range(len(docs))), [0] * len(docs)
 
     def root(i):
         while parent[i] != i:
@@ -34,10 +34,12 @@ def jaccard(docs, k, num, den):
             both = len(sets[i] & sets[j])
             if both and den * both >= num * len(sets[i] | sets[j]):
                 parent[root(i)] = root(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i in range(len(docs)):
         least[root(i)] = min(least.get(root(i), LAST), order(docs[i][0]))
-    return [(len(s), None if least[root(i)] == LAST else least[root(i)]) for i, s in enumerate(sets)]
+    return [(len(s), None if least[root(i)] == LAST else least[root(i)], links[i]) for i, s in enumerate(sets)]
 
 
 def substrings(docs, window):

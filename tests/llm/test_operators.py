@@ -37,10 +37,37 @@ def test_packing():
 
 
 @pytest.mark.parametrize("k, num, den", [(4, 85, 100), (5, 80, 100), (2, 50, 100)])
-def test_jaccard(docs, pairs, k, num, den):
-    got = jaccard.jaccard_components(docs, k=k, num=num, den=den).collect()
-    want = brute.jaccard(pairs, k, num, den)
-    assert bag((r.doc_id, r.n_shingles, r.component_id) for r in got) == bag((i, *w) for (i, _), w in zip(pairs, want, strict=True))
+def test_jaccard(docs, pairs, k, num, den, monkeypatch):
+    want = bag((i, *w) for (i, _), w in zip(pairs, brute.jaccard(pairs, k, num, den), strict=True))
+    for tile in (1024, 7):  # one part, and many pairs of parts
+        monkeypatch.setattr(jaccard, "TILE", tile)
+        got = jaccard.jaccard_components(docs, k=k, num=num, den=den).collect()
+        assert bag((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == want
+
+
+def test_distinct_documents(docs, pairs):
+    """One row of each component stays, rows with null ids included, and other columns with it."""
+    got = jaccard.distinct_documents(docs)
+    assert got.columns == docs.columns
+    numbered = [(i if i is not None else 10**6 + at, t) for at, (i, t) in enumerate(pairs)]
+    seen, want = set(), []
+    numbered.sort(key=lambda x: x[0])
+    for (i, t), (n, component, _) in zip(numbered, brute.jaccard(numbered, 5, 80, 100), strict=True):
+        if not n or component not in seen:
+            want.append((None if i >= 10**6 else i, t))
+        seen.add(component)
+    assert bag((r.doc_id, r.text) for r in got.collect()) == bag(want)
+
+
+def test_rows_are_told_apart(spark):
+    """Different texts that share a doc_id or have none stay apart; copies among them go together."""
+    word = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(None, word("a", 30)), (None, word("b", 30)), (None, word("a", 30)), (7, word("c", 30)), (7, word("d", 30)), (3, word("d", 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = bag((r.doc_id, r.component_id, r.n_links) for r in jaccard.jaccard_components(df).collect())
+    assert got == bag([(None, None, 1), (None, None, 0), (None, None, 1), (7, 7, 0), (7, 3, 1), (3, 3, 1)])
+    kept = bag((r.doc_id, r.text[0]) for r in jaccard.distinct_documents(df).collect())
+    assert kept == bag([(None, "a"), (None, "b"), (7, "c"), (3, "d")])
 
 
 def test_components(spark):
@@ -286,3 +313,32 @@ def test_pieces(docs, pairs):
 ])
 def test_empty_table(spark, empty, apply):
     assert apply(empty, spark).count() == 0
+
+
+@pytest.mark.parametrize("apply", [jaccard.jaccard_components, substring.substring_dedup, suffixes.suffix_dedup], ids=["op1", "op5", "op9"])
+def test_blocks_survive_other_splits(spark, docs, apply, monkeypatch):
+    """Executors that come or go between two jobs change how Spark splits the files; the rows don't change."""
+    slim = docs.select("doc_id", "text").where("text is null or length(text) < 20000")
+    want = bag(map(tuple, apply(slim).collect()))
+    write, splits = blocks.materialized, iter([1, 9, 2, 16, 3, 30] * 20)
+
+    def shifted(*args):
+        out = write(*args)
+        spark.conf.set("spark.sql.files.minPartitionNum", str(next(splits)))
+        return out
+
+    monkeypatch.setattr(blocks, "materialized", shifted)
+    monkeypatch.setattr(blocks, "BLOCK", 1 << 12)
+    try:
+        assert bag(map(tuple, apply(slim).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_suffixes_split_hot_heads(spark, monkeypatch):
+    """Strings of a head that fills many buckets are dealt one by one, and none is lost."""
+    rows = [(i, " " * 400 + f"x{i % 3} " * 30 + "-" * 200 + str(i) * 60) for i in range(30)]
+    monkeypatch.setattr(suffixes, "EACH", 100_000)
+    got = suffixes.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute.suffixes(rows, 50)
+    assert bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == bag((i, *w) for (i, _), w in zip(rows, want, strict=True))
