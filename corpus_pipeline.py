@@ -35,11 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only the doc_ids of later members travel, so texts are shuffled once."""
-    docs = docs.select(*COLUMNS)
-    found = jaccard.jaccard_components(docs)
-    gone = blocks.materialized(found.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    return jaccard.distinct_documents(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
