@@ -1,19 +1,23 @@
 """Quality rules: base statistics, and n-gram perplexity within bands of the document's language.
 
-The model of each language predicts a word's bytes, and its end, from the ``order`` - 1 bytes
-before: a modified Kneser-Ney model with three discounts for each order.  Spark counts the
-n-grams of all words of all documents (blocks send the sum over their distinct words), derives
-the continuation counts of lower orders, the counts of counts behind the discounts, and the
-interpolated probabilities by joins of n-grams with their contexts and their endings.
+The model of each language predicts a text byte by byte from the ``order`` - 1 bytes before, across
+words: words follow each other with one blank between, a text begins after blanks and ends with one.
+It is a modified Kneser-Ney model with three discounts for each order.  Spark counts the n-grams of
+all documents (blocks send the distinct ones with their numbers to hash buckets), derives the
+continuation counts of lower orders, the counts of counts behind the discounts, and the interpolated
+probabilities by joins of n-grams with their contexts and their endings.
 
 All documents that are scored are counted, so each of their n-grams of the highest order is in the
-model, and scoring looks it up; it never backs off.  The n-grams are sorted arrays of 64-bit hashes
-of (language, n-gram) with probabilities, in parts of about 2 ** ``fold`` n-grams by hash: each part is a
-broadcast, found by binary search one after the other, and none is left out however many there are.
+model; scoring looks it up and never backs off.  A bucket holds its n-grams as sorted arrays of 64-bit
+hashes of (language, n-gram) with their probabilities, finds the ones that each block asked for by binary search and
+sends the block its answers.  So neither the model nor any part of it is ever whole in one place,
+and none of it is left out, however large it is.
 
-A language's band of log-perplexity is its middle half, over documents that pass the base rules,
-widened on both sides by ``reach`` times its width (a middle half narrower than ``least`` nats counts as
-that wide); above and below, documents are rejected.
+A language's band of log-perplexity comes from documents that pass the base rules: its quartiles,
+widened below by ``below`` times twice the distance from the lower quartile to the median, above by
+``above`` times twice the one from the median to the upper quartile (a distance under ``least`` nats
+counts as that).  Outside it, documents are rejected: noise lies above, texts of few repeated
+patterns below.
 
 Cases: a null text has no words; texts without words fail the base rule and have no perplexity;
 a null language is a language of its own; a language with one document has a band around it;
@@ -23,69 +27,110 @@ as often as they occur; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from condense.llm import blocks as B
-from condense.llm.textkit import SPACED, U64, covered, line_spans, mix, owners, span_hashes, spans, windows
+from condense.llm.textkit import SPACED, U64, covered, line_spans, mix, owners, ranges, span_hashes, spans, windows
 from condense.shipping import ship
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 REPEAT = 8
-#: Smaller than others: a block's arrays hold eight bytes for each byte of its distinct words, several times.
+LOGP = 1
+#: Smaller than others: a block's arrays hold eight bytes for each byte of its texts, several times.
 SIZE = 2 << 20
 
 
 def _lang_hash(lang: str | None) -> int:
-    import hashlib
-
     return int.from_bytes(hashlib.blake2b(b"-" if lang is None else b"+" + lang.encode(), digest_size=8).digest(), "little")
 
 
-class Vocabulary:
-    """The distinct (language, word) pairs of a block and the n-grams that predict each one's bytes."""
+def _keys(langs: list, number: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Hashes of (langs[number], gram)."""
+    of = np.array([_lang_hash(x) for x in langs], np.uint64)
+    return mix(of[number] ^ mix(grams + U64(0x632BE59BD9B4E019)))
+
+
+class Grams:
+    """The n-grams that predict each byte of a block's texts; the distinct ones by (number of the language, gram)."""
 
     def __init__(self, block: B.Block, order: int):
+        if not 1 <= order <= 6:
+            raise ValueError("order must be 1 to 6")
         starts, ends, self.bounds = spans(block.buf, block.offsets, SPACED)
+        self.h = span_hashes(block.buf, starts, ends)
+        size, words = ends - starts, np.diff(self.bounds)
+        lead = np.zeros(size.size, np.int64)
+        lead[self.bounds[:-1][words > 0]] = order - 1  # blanks before a text; one follows each word
+        at = np.cumsum(lead + size + 1) - (size + 1)
+        text = np.full(int(at[-1] + size[-1] + 1) if size.size else 0, 32, np.uint8)
+        text[ranges(at, size)] = block.buf[ranges(starts, size)]
+        place = ranges(at, size + 1)
+        grams = np.zeros(place.size, np.uint64)
+        for k in range(order):
+            grams |= text[place - k].astype(np.uint64) << U64(8 * k)
         names = block.table["lang"].to_pylist()
         self.langs = list(dict.fromkeys(names))
         number = {x: i for i, x in enumerate(self.langs)}
-        lang = np.array([number[x] for x in names], np.int64)[owners(self.bounds)]
-        self.h = span_hashes(block.buf, starts, ends)
-        key = mix(self.h + lang.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
-        _, first, self.back, self.times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        self.lang = lang[first]
-        size = ends[first] - starts[first]
-        room = size + order  # order - 1 blanks, the word, a blank
-        at = np.cumsum(room) - room
-        padded = np.full(room.sum(), 32, np.uint64)
-        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        padded[np.repeat(at + order - 1, size) + inner] = block.buf[np.repeat(starts[first], size) + inner]
-        self.steps = size + 1
-        self.word = np.repeat(np.arange(size.size), self.steps)
-        place = np.repeat(at + order - 1, self.steps) + np.arange(self.steps.sum()) - np.repeat(np.cumsum(self.steps) - self.steps, self.steps)
-        self.grams = np.zeros(place.size, np.uint64)
-        for k in range(order):
-            self.grams |= padded[place - k] << U64(8 * k)
+        self.steps = np.concatenate([[0], np.cumsum(size + 1)])[self.bounds]
+        grams |= np.repeat(np.array([number[x] for x in names], np.uint64) << U64(8 * order), np.diff(self.steps))
+        found, self.back, self.times = np.unique(grams, return_inverse=True, return_counts=True)
+        self.grams, self.lang = found & U64((1 << 8 * order) - 1), (found >> U64(8 * order)).astype(np.int64)
+
+    def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bucket of each distinct gram, and their order by bucket."""
+        bucket = (_keys(self.langs, self.lang, self.grams) >> U64(32)) % U64(n)
+        return bucket, np.argsort(bucket, kind="stable")
+
+
+SENT_SCHEMA = "bucket int, block long, langs array<string>, lang binary, grams binary, times binary"
+
 
-    def counts(self) -> pa.RecordBatch:
-        key = self.grams | (self.lang[self.word].astype(np.uint64) << U64(48))
-        found, back = np.unique(key, return_inverse=True)
-        n = np.bincount(back, weights=self.times[self.word], minlength=found.size).astype(np.int64)
-        langs = pa.DictionaryArray.from_arrays(pa.array((found >> U64(48)).astype(np.int32)), pa.array(self.langs, pa.string())).cast(pa.string())
-        return pa.RecordBatch.from_arrays([langs, pa.array((found & U64((1 << 48) - 1)).astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+def sent_grams(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
+    """For each block and bucket: the block's languages, and by gram the number of one, the gram and how often it occurs."""
 
+    def send(block):
+        grams = Grams(block, order)
+        bucket, rank = grams.buckets(buckets)
+        cut = np.searchsorted(bucket[rank], np.arange(buckets + 1, dtype=np.uint64)).tolist()
+        rows = [(b, B.pack_array(grams.lang[rank[i:j]].astype(np.uint16)), B.pack_array(grams.grams[rank[i:j]]), B.pack_array(grams.times[rank[i:j]].astype(np.uint32))) for b, (i, j) in enumerate(itertools.pairwise(cut)) if j > i]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        langs = pa.array([grams.langs] * len(rows), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([block.name] * len(rows), pa.int64()), langs, *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "block", "langs", "lang", "grams", "times"])
 
-def gram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """(lang, gram, n) over all documents; a gram is its bytes as one number."""
+    return B.each_block(blocks, send, SENT_SCHEMA)
 
-    def count(batches):
-        for block in B.iter_blocks(batches, SIZE):
-            yield Vocabulary(block, order).counts()
 
-    return docs.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+def _received(table: pa.Table):
+    """(languages, number of the language, grams) for each row of a bucket."""
+    for langs, lang, grams in zip(table["langs"].to_pylist(), table["lang"], table["grams"], strict=True):
+        yield langs, B.unpack_array(lang.as_py()), B.unpack_array(grams.as_py())
+
+
+def gram_counts(sent: DataFrame) -> DataFrame:
+    """(bucket, lang, gram, n) over all documents; a gram is its bytes as one number."""
+
+    def count(key, table):
+        B.trim()
+        rows = list(_received(table))
+        names = list(dict.fromkeys(x for langs, _, _ in rows for x in langs))
+        of = {x: i for i, x in enumerate(names)}
+        number = np.concatenate([np.array([of[x] for x in langs])[lang] for langs, lang, _ in rows])
+        grams, times = np.concatenate([g for _, _, g in rows]), np.concatenate([B.unpack_array(x.as_py()) for x in table["times"]])
+        order = np.lexsort((grams, number))
+        number, grams = number[order], grams[order]
+        fresh = np.ones(grams.size, bool)
+        fresh[1:] = (grams[1:] != grams[:-1]) | (number[1:] != number[:-1])
+        n = np.add.reduceat(times[order].astype(np.int64), np.flatnonzero(fresh))
+        langs = pa.array(names, pa.string()).take(pa.array(number[fresh]))
+        return pa.table({"bucket": pa.array(np.full(n.size, key[0].as_py(), np.int32)), "lang": langs, "gram": pa.array(grams[fresh].astype(np.int64)), "n": pa.array(n)})
+
+    return sent.groupBy("bucket").applyInArrow(count, "bucket int, lang string, gram long, n long")
 
 
 def _discounts(grams: DataFrame) -> DataFrame:
@@ -99,76 +144,52 @@ def _discounts(grams: DataFrame) -> DataFrame:
     return seen.select("lang", *(F.when(usable, F.greatest(F.lit(0.05), F.least(r, F.lit(i - 0.05)))).otherwise(F.lit(p)).alias(f"d{i}") for i, (r, p) in enumerate(zip(raw, plain, strict=True), 1)))
 
 
-def kneser_ney(docs: DataFrame, order: int = 4) -> tuple[list[DataFrame], list[DataFrame]]:
-    """For orders 1 .. order: (lang, gram, n, logp), and (lang, context, logb) for contexts of 0 .. order - 1 bytes."""
-    top = B.materialized(gram_counts(docs, order))
-    counted = [top]
+def kneser_ney(counts: DataFrame, order: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """From a written table of (lang, gram, n), for orders 1 .. order: (lang, gram, n, logp), and (lang, context, total, logb) for contexts of 0 .. order - 1 bytes.
+
+    Further columns of counts stay with the highest order.
+    """
+    extra = [c for c in counts.columns if c not in ("lang", "gram", "n")]
+    counted = [counts]
     for k in range(order - 1, 0, -1):
         counted.append(B.materialized(counted[-1].groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count("*").alias("n"))))
     counted.reverse()
     probs, backs, below = [], [], None
     for k, grams in enumerate(counted, 1):
+        more = [F.col(f"g.{c}") for c in extra] if k == order else []
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         each = grams.alias("g").join(_discounts(grams).alias("d"), F.col("g.lang").eqNullSafe(F.col("d.lang"))).select("g.*", cut.alias("cut"))
         each = each.withColumn("context", F.shiftright("gram", 8))
         context = B.materialized(each.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("held")))
-        joined = each.alias("g").join(context.alias("c"), F.col("g.lang").eqNullSafe(F.col("c.lang")) & (F.col("g.context") == F.col("c.context"))).select("g.lang", "g.gram", "g.n", "g.cut", "c.total", "c.held")
+        met = F.col("g.lang").eqNullSafe(F.col("c.lang")) & (F.col("g.context") == F.col("c.context"))
+        joined = each.alias("g").join(context.alias("c"), met).select("g.lang", "g.gram", "g.n", "g.cut", "c.total", "c.held", *more)
         own, share = (F.col("n") - F.col("cut")) / F.col("total"), F.col("held") / F.col("total")
         if below is None:
-            found = joined.select("lang", "gram", "n", F.log(own + share / 256).alias("logp"))
+            found = joined.withColumn("logp", F.log(own + share / 256)).alias("g")
         else:
             low = joined.withColumn("ending", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1)).alias("g")
-            found = low.join(below.drop("n").alias("b"), F.col("g.lang").eqNullSafe(F.col("b.lang")) & (F.col("g.ending") == F.col("b.gram"))).select("g.lang", "g.gram", "g.n", F.log(own + share * F.exp("b.logp")).alias("logp"))
-        below = B.materialized(found)
+            met = F.col("g.lang").eqNullSafe(F.col("b.lang")) & (F.col("g.ending") == F.col("b.gram"))
+            found = low.join(below.select("lang", "gram", F.col("logp").alias("lower")).alias("b"), met).withColumn("logp", F.log(own + share * F.exp("lower")))
+        below = B.materialized(found.select("g.lang", "g.gram", "g.n", "logp", *more))
         probs.append(below)
         backs.append(context.select("lang", "context", "total", F.log(F.col("held") / F.col("total")).alias("logb")))
     return probs, backs
 
 
-def _keys(langs: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    return mix(langs ^ mix(grams + U64(0x632BE59BD9B4E019)))
-
-
-def hash_arrays(table: DataFrame, fold: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Rising hashes of (lang, gram) and their logp, for all rows, in parts of about 2 ** fold."""
-
-    def pack(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            code = batch["lang"].dictionary_encode(null_encoding="encode")
-            langs = np.array([_lang_hash(x) for x in code.dictionary.to_pylist()], np.uint64)[code.indices.to_numpy()]
-            key = _keys(langs, batch["gram"].to_numpy().astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array([key.tobytes()], pa.binary()), pa.array([batch["logp"].to_numpy().astype(np.float32).tobytes()], pa.binary())], ["keys", "values"])
-
-    out = []
-    parts = max(1, -(-table.count() // (1 << fold)))
-    for k in range(parts):
-        held = table.where(F.pmod(F.xxhash64("lang", "gram", F.lit(9)), F.lit(parts)) == k).select("lang", "gram", "logp").mapInArrow(pack, "keys binary, values binary").collect()
-        keys = np.frombuffer(b"".join(p["keys"] for p in held), np.uint64)
-        values = np.frombuffer(b"".join(p["values"] for p in held), np.float32)
-        order = np.argsort(keys, kind="stable")
-        out.append((keys[order], values[order]))
-    return out
-
-
-def _find(array: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashes, values = array
-    if not hashes.size:
-        return np.zeros(keys.size, bool), np.zeros(keys.size)
-    at = np.minimum(np.searchsorted(hashes, keys), hashes.size - 1)
-    return hashes[at] == keys, values[at]
+def answered(sent: DataFrame, model: DataFrame) -> DataFrame:
+    """For each block and bucket: the log-probabilities of the grams sent, from the bucket's sorted hash arrays."""
 
+    def look_up(key, table, known):
+        B.trim()
+        code = known["lang"].combine_chunks().dictionary_encode(null_encoding="encode")
+        hashes = _keys(code.dictionary.to_pylist(), code.indices.to_numpy(), known["gram"].to_numpy().astype(np.uint64))
+        order = np.argsort(hashes)
+        hashes, values = hashes[order], known["logp"].to_numpy().astype(np.float32)[order]
+        out = [B.pack_array(values[np.searchsorted(hashes, _keys(langs, lang, grams))]) for langs, lang, grams in _received(table)]
+        n = len(out)
+        return pa.table({"block": table["block"], "kind": pa.array([LOGP] * n, pa.int32()), "bucket": pa.array([key[0].as_py()] * n, pa.int64()), "reply": pa.array(out, pa.binary())})
 
-def word_scores(vocabulary: Vocabulary, model: list) -> np.ndarray:
-    """The log-probability of each distinct word, from the broadcast parts of the model."""
-    lang = np.array([_lang_hash(x) for x in vocabulary.langs], np.uint64)[vocabulary.lang[vocabulary.word]]
-    out, open_, keys = np.zeros(vocabulary.grams.size), np.arange(vocabulary.grams.size), _keys(lang, vocabulary.grams)
-    for part in model:
-        found, value = _find(part.value, keys)
-        out[open_[found]] = value[found]
-        open_, keys = open_[~found], keys[~found]
-    return np.bincount(vocabulary.word, weights=out, minlength=vocabulary.steps.size)
+    return sent.groupBy("bucket").cogroup(model.select("bucket", "lang", "gram", "logp").groupBy("bucket")).applyInArrow(look_up, B.REPLY_SCHEMA)
 
 
 def base_statistics(block: B.Block, bounds: np.ndarray, h: np.ndarray) -> dict[str, np.ndarray]:
@@ -197,32 +218,36 @@ def base_statistics(block: B.Block, bounds: np.ndarray, h: np.ndarray) -> dict[s
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def quality_rules(docs: DataFrame, order: int = 4, fold: int = 20, reach: float = 2.0, least: float = 0.01) -> DataFrame:
+def quality_rules(docs: DataFrame, order: int = 4, below: float = 3.0, above: float = 3.0, least: float = 0.005) -> DataFrame:
     """doc_id, lang, the base statistics, base_failed, log_perplexity (of a byte), low, high, kept."""
-    spark = docs.sparkSession
-    ship(spark)
-    docs = docs.select("doc_id", "text", "lang")
-    probs, _ = kneser_ney(docs, order)
-    model = [spark.sparkContext.broadcast(x) for x in hash_arrays(probs[-1], fold)]
-
-    def score(batches):
-        for block in B.iter_blocks(batches, SIZE):
-            words = Vocabulary(block, order)
-            each = word_scores(words, model)
-            sums = np.concatenate([[0.0], np.cumsum(each[words.back])])
-            steps = np.concatenate([[0], np.cumsum(words.steps[words.back])])
-            n = np.diff(steps[words.bounds])
-            surprise = -np.diff(sums[words.bounds]) / np.maximum(n, 1)
-            stats = base_statistics(block, words.bounds, words.h)
-            yield pa.RecordBatch.from_arrays([B.id_array(block.ids), block.table["lang"].combine_chunks(), *(pa.array(stats[c]) for c in STATS), pa.array(surprise, mask=n == 0)], ["doc_id", "lang", *STATS, "log_perplexity"])
-
-    scores = docs.mapInArrow(score, f"doc_id long, lang string, {', '.join(f'{c} long' for c in STATS)}, log_perplexity double")
+    ship(docs.sparkSession)
+    blocks = B.block_table(docs.select("doc_id", "text", "lang"), SIZE, level=9)
+    buckets = B.n_buckets(blocks)
+    sent = B.materialized(sent_grams(blocks, order, buckets))
+    probs, _ = kneser_ney(B.materialized(gram_counts(sent)), order)
+    answers = B.materialized(answered(sent, probs[-1]))
+    B.discard(sent)
+
+    def score(block, table):
+        grams = Grams(block, order)
+        _, rank = grams.buckets(buckets)
+        each = np.zeros(grams.grams.size)
+        if each.size:
+            each[rank] = B.replies(table, LOGP)
+        sums = np.concatenate([[0.0], np.cumsum(each[grams.back])])[grams.steps]
+        n = np.diff(grams.steps)
+        surprise = -np.diff(sums) / np.maximum(n, 1)
+        stats = base_statistics(block, grams.bounds, grams.h)
+        return pa.table([B.id_array(block.ids), block.table["lang"].combine_chunks(), *(pa.array(stats[c]) for c in STATS), pa.array(surprise, mask=n == 0)], names=["doc_id", "lang", *STATS, "log_perplexity"])
+
+    scores = B.with_replies(blocks, answers, score, f"doc_id long, lang string, {', '.join(f'{c} long' for c in STATS)}, log_perplexity double")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scores = B.materialized(scores.withColumn("base_failed", failed))
-    quarter = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
-    bands = scores.where(~F.col("base_failed")).groupBy("lang").agg(quarter.alias("q"))
-    width = reach * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(least))
-    bands = bands.select("lang", (F.col("q")[0] - width).alias("low"), (F.col("q")[1] + width).alias("high"))
+    B.discard(blocks, answers)
+    bands = scores.where(~F.col("base_failed")).groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"))
+    first, middle, last = (F.col("q")[i] for i in range(3))
+    low, high = (F.greatest(x, F.lit(least)) for x in (middle - first, last - middle))
+    bands = bands.select("lang", (first - 2 * below * low).alias("low"), (last + 2 * above * high).alias("high"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
     return scores.alias("s").join(bands.alias("b"), F.col("s.lang").eqNullSafe(F.col("b.lang")), "left").select("s.*", "low", "high", kept.alias("kept"))
 

@@ -153,6 +153,11 @@ def windows_at(h: np.ndarray, at: np.ndarray, k: int, base: int = 0xD6E8FEB86659
     return mix(out)
 
 
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... size[0] of them, and so on."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def owners(offsets: np.ndarray) -> np.ndarray:
     """The document of each of offsets[-1] items."""
     return np.repeat(np.arange(offsets.size - 1), np.diff(offsets))

@@ -1,6 +1,7 @@
 """Plain forms of the corpus operators for small tables."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -145,22 +146,61 @@ def statistics(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered), len(w) < 20 or 100 * len(covered) > 30 * len(w)
 
 
-def viterbi(unit, table, longest):
-    """Pieces of a unit: fewest pieces (bytes count one each), highest score, longest last piece."""
-    best = [(0, 0.0, 0)]
+def viterbi(unit, table, longest, worst):
+    """Pieces of a unit: the highest sum of scores, of these the longest last piece; unknown characters score worst."""
+    best = [(0.0, 0)]
     for e in range(1, len(unit) + 1):
-        options = []
-        for n in range(1, min(e, longest) + 1):
-            part = unit[e - n : e]
-            k, s, _ = best[e - n]
-            if part in table:
-                options.append((k + 1, s + min(-table[part], 1 << 20), -n))
-            elif n == 1:
-                options.append((k + len(part.encode()), s + (1 << 20), -n))
-        k, s, n = min(options)
-        best.append((k, s, -n))
+        options = [(best[e - n][0] + table.get(unit[e - n : e], worst), n) for n in range(1, min(e, longest) + 1) if n == 1 or unit[e - n : e] in table]
+        best.append(max(options))
     out, e = [], len(unit)
     while e:
-        out.append(unit[e - best[e][2] : e])
-        e -= best[e][2]
+        out.append(unit[e - best[e][1] : e])
+        e -= best[e][1]
     return out[::-1]
+
+
+def merge(unit, place):
+    """Pieces of a unit: again and again the two neighbours whose join comes first, of equal ones the leftmost."""
+    parts = list(unit)
+    while True:
+        found = min(((place[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in place), default=None)
+        if found is None:
+            return parts
+        i = found[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def kneser_ney(docs, order):
+    """{(text, lang): mean surprise of a byte} of a modified Kneser-Ney model over all rows (text, lang)."""
+    stream = lambda t: b" " * (order - 1) + b"".join(w.encode() + b" " for w in words(t))
+    out = {}
+    for lang in {x for _, x in docs}:
+        streams = [stream(t) for t, x in docs if x == lang and words(t)]
+        counts = [Counter(s[i - order + 1 : i + 1] for s in streams for i in range(order - 1, len(s)))]
+        for k in range(order - 1, 0, -1):
+            counts.append(Counter(g[1:] for g in counts[-1]))
+        counts.reverse()
+        levels = []
+        for c in counts:
+            t = [sum(n == i for n in c.values()) for i in range(5)]
+            cut = [0.0, 0.5, 1.0, 1.5]
+            if t[1] and t[2] and t[3]:
+                y = t[1] / (t[1] + 2 * t[2])
+                cut[1:] = [max(0.05, min(i - (i + 1) * y * t[i + 1] / t[i], i - 0.05)) for i in (1, 2, 3)]
+            total, held = Counter(), Counter()
+            for g, n in c.items():
+                total[g[:-1]] += n
+                held[g[:-1]] += cut[min(n, 3)]
+            levels.append((c, cut, total, held))
+
+        def prob(g):
+            if not g:
+                return 1 / 256
+            c, cut, total, held = levels[len(g) - 1]
+            return (c[g] - cut[min(c[g], 3)]) / total[g[:-1]] + held[g[:-1]] / total[g[:-1]] * prob(g[1:])
+
+        for t, x in docs:
+            if x == lang and words(t) and (t, x) not in out:
+                s = stream(t)
+                out[t, x] = -sum(math.log(prob(s[i - order + 1 : i + 1])) for i in range(order - 1, len(s))) / (len(s) - order + 1)
+    return out

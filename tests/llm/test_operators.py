@@ -202,9 +202,33 @@ def test_quality_rules(docs, pairs):
     assert all(not (r.kept and r.base_failed) for r in got)
 
 
+def test_perplexity_of_all_documents(spark, docs, pairs):
+    """Log-perplexity, bands and kept against a plain model, in many blocks and buckets."""
+    rows = [(r.text, r.lang) for r in docs.collect()]
+    want = brute.kneser_ney(rows, 4)
+    got = perplexity.quality_rules(docs).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for (t, x), v in want.items():
+        by.setdefault(x, []).append((t, v))
+    stats = {(r.doc_id, r.n_words): r for r in got}
+    assert stats
+    found = sorted((r.lang or "", round(r.log_perplexity, 4)) for r in got if r.log_perplexity is not None)
+    assert found == sorted((x or "", round(want[t, x], 4)) for t, x in rows if (t, x) in want)
+    for lang in {x for _, x in rows}:
+        good = sorted(want[t, x] for t, x in rows if x == lang and not brute.statistics(t)[-1])
+        at = lambda p: good[max(0, -(-int(p * 100) * len(good) // 100) - 1)]
+        q = [at(p) for p in (0.25, 0.5, 0.75)]
+        low, high = q[0] - 6 * max(q[1] - q[0], 0.005), q[2] + 6 * max(q[2] - q[1], 0.005)
+        mine = [r for r in got if r.lang == lang]
+        assert all(abs(r.low - low) < 1e-4 and abs(r.high - high) < 1e-4 for r in mine)
+        assert all(r.kept == (not r.base_failed and low <= r.log_perplexity <= high) for r in mine if r.log_perplexity is None or min(abs(r.log_perplexity - low), abs(r.log_perplexity - high)) > 1e-3)
+
+
 def test_kneser_ney_sums_to_one(spark):
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["abc abd abe ab b c", "abc abc a", "xyz xa"] * 3)], "doc_id long, text string, lang string")
-    probs, backs = perplexity.kneser_ney(df, order=3)
+    counts = blocks.materialized(perplexity.gram_counts(perplexity.sent_grams(blocks.block_table(df), 3, 5)))
+    probs, backs = perplexity.kneser_ney(counts, 3)
     tables = [{r.gram: np.exp(r.logp) for r in p.collect()} for p in probs]
     weights = [{r.context: np.exp(r.logb) for r in b.collect()} for b in backs]
 
@@ -243,15 +267,6 @@ def test_perplexity_bands_follow_the_spread(spark):
     assert not any(got[i].kept or got[i].base_failed for i in (80, 81))
 
 
-def test_perplexity_holds_every_ngram(spark):
-    """Many small parts of the model score as one does."""
-    rows = [(i, " ".join(f"{chr(97 + (i * j) % 26)}{chr(97 + j % 26)}{'xyz'[(i + j) % 3]}w" for j in range(1, 30)), ("en", None)[i % 2]) for i in range(10)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    one, many = ({r.doc_id: r.log_perplexity for r in perplexity.quality_rules(df, fold=f).collect()} for f in (20, 7))
-    assert len(perplexity.hash_arrays(perplexity.kneser_ney(df)[0][-1], 7)) > 2
-    assert all(abs(one[i] - many[i]) < 1e-6 for i in one)
-
-
 def test_classifier(spark, docs):
     import random
 
@@ -287,25 +302,58 @@ def test_sharding(docs, pairs):
     assert bag((r.doc_id, r.text, r.shard) for r in got if r.doc_id is not None) == bag((r.doc_id, r.text, r.shard) for r in again if r.doc_id is not None)
 
 
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+
+
 def test_pieces(docs, pairs):
-    v = pieces.Vocabulary()
-    table, ids = {r[1]: r[2] for r in v.rows}, {r[1]: r[0] for r in v.rows}
+    """Ids are the ones of the model's own library, and decode to the text."""
+    sp = library()
     encoded = pieces.encode(docs)
     got = encoded.collect()
-    assert all(r.round_trip for r in got)
-    want = []
-    for i, text in pairs:
-        out = []
-        for unit in re.findall(r" +[^ \n]*|\n|[^ \n]+", f" {text}") if text else ():
-            for at in range(0, len(unit), pieces.UNIT):
-                for p in brute.viterbi(unit[at : at + pieces.UNIT], table, v.longest):
-                    out += [ids[p]] if p in table else [int(v.byte_ids[b]) for b in p.encode()]
-        want.append((i, hashlib.sha256(str(out).encode()).hexdigest(), len(out)))
-    assert bag((r.doc_id, hashlib.sha256(str(list(r.ids)).encode()).hexdigest(), r.n_tokens) for r in got) == bag(want)
+    assert all(r.round_trip for r in got) and set(docs.columns) < set(encoded.columns)
+    plain = [(i, t) for i, t in pairs if pieces.META not in (t or "")]
+    sha = lambda ids: hashlib.sha256(str(list(ids)).encode()).hexdigest()
+    assert len(plain) == len(pairs) - 1
+    assert bag((r.doc_id, sha(r.ids), r.n_tokens) for r in got if pieces.META not in (r.text or "")) == bag((i, sha(x), len(x)) for i, t in plain for x in [sp.encode(t or "")])
     back = pieces.decode(encoded.select("doc_id", "ids")).collect()
     assert bag((r.doc_id, r.text) for r in back) == bag((i, t or "") for i, t in pairs)
 
 
+def test_every_piece_comes_out_whole(spark):
+    """What makes one pass over the ranks exact; and units that are no words: runs, joined pieces, other scripts, long ones."""
+    import random
+
+    rng, v, sp = random.Random(5), pieces.Vocabulary(), library()
+    texts = [t for _, t, _ in v.rows if pieces.META not in t]
+    made = ["".join(rng.choice(texts).strip() for _ in range(rng.randint(2, 40))) for _ in range(2000)] + ["x" * n for n in (61, 62, 63, 64, 125, 126, 127, 10_000)]
+    made += [" " * n + "ab" for n in range(70)] + ["".join(rng.choice("abcdefghij0123456789") for _ in range(10_000)), "日本語のテキスト" * 40, "ไทย" * 50, "é" * 500, "0123456789abcdef" * 30, "a\tb\r\nc\x00"]
+    rows = list(enumerate([*(t.removeprefix(" ") for t in texts), *made]))
+    got = {r.doc_id: r for r in pieces.encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = [t for i, t in rows if list(got[i].ids) != sp.encode(t)]
+    assert not wrong and all(r.round_trip for r in got.values())
+    place = {t: p for t, p in v.table()}
+    for t in (rng.choice(made[:2000]) for _ in range(100)):
+        assert [x for x in brute.merge(f" {t}", place)] == [p.replace(pieces.META, " ") for p in sp.encode(t, out_type=str) if not p.startswith("<0x")] or any(p.startswith("<0x") for p in sp.encode(t, out_type=str))
+
+
+def test_viterbi(spark):
+    """Where scores are probabilities, the best path of the lattice."""
+    import random
+
+    rng = random.Random(8)
+    letters = "abcd"
+    table = {c: -rng.uniform(3, 6) for c in "abc"} | {"".join(rng.choice(letters[:3]) for _ in range(rng.randint(2, 5))): -rng.uniform(2, 9) for _ in range(60)}
+    units = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 140))) for _ in range(80)})
+    df = spark.createDataFrame(list(enumerate(units)), "uid long, unit string")
+    got = {r.uid: [w * pieces.WORD + b for w, m in enumerate(r.mask) for b in range(pieces.WORD) if m >> b & 1] for r in pieces.segmented(df, list(table.items()), 5, False, 3).collect()}
+    for i, u in enumerate(units):
+        want = brute.viterbi(u, table, 5, min(table.values()) - 10)
+        assert [u[a:z] for a, z in zip(got[i], got[i][1:])] == want
+
+
 @pytest.mark.parametrize("apply", [
     lambda d, s: jaccard.jaccard_components(d), lambda d, s: substring.substring_dedup(d), lambda d, s: suffixes.suffix_dedup(d), lambda d, s: linedup.line_dedup(d), lambda d, s: pii.pii_spans(d),
     lambda d, s: perplexity.quality_rules(d), lambda d, s: sharding.shuffled_shards(d), lambda d, s: pieces.encode(d), lambda d, s: decontaminate.contamination(d, s.createDataFrame([], "item_id long, text string")),
