@@ -13,11 +13,13 @@ hashes of (language, n-gram) with their probabilities, finds the ones that each
 sends the block its answers.  So neither the model nor any part of it is ever whole in one place,
 and none of it is left out, however large it is.
 
-A language's band of log-perplexity comes from documents that pass the base rules: its quartiles,
+Every text has a perplexity under each order of the model, from bytes alone to ``order`` bytes.
+A language's band of each comes from documents that pass the base rules: its quartiles,
 widened below by ``below`` times twice the distance from the lower quartile to the median, above by
 ``above`` times twice the one from the median to the upper quartile (a distance under ``least`` nats
-counts as that).  Outside it, documents are rejected: noise lies above, texts of few repeated
-patterns below.
+counts as that).  A document outside any of the bands is rejected.  Low orders are needed because
+junk that is common in the corpus is learned like anything else: texts in capitals or full of signs
+lie above the band of single bytes and below the ones of pairs, whatever the highest order has seen.
 
 Cases: a null text has no words; texts without words fail the base rule and have no perplexity;
 a null language is a language of its own; a language with one document has a band around it;
@@ -27,6 +29,7 @@ as often as they occur; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 
@@ -41,7 +44,6 @@ from condense.shipping import ship
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 REPEAT = 8
-LOGP = 1
 #: Smaller than others: a block's arrays hold eight bytes for each byte of its texts, several times.
 SIZE = 2 << 20
 
@@ -145,7 +147,7 @@ def _discounts(grams: DataFrame) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame, order: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """From a written table of (lang, gram, n), for orders 1 .. order: (lang, gram, n, logp), and (lang, context, total, logb) for contexts of 0 .. order - 1 bytes.
+    """From a written table of (lang, gram, n), for orders 1 .. order: (lang, gram, n, logp, lps: the logp of the gram's ending in this and all lower orders, lowest first), and (lang, context, total, logb) for contexts of 0 .. order - 1 bytes.
 
     Further columns of counts stay with the highest order.
     """
@@ -165,31 +167,34 @@ def kneser_ney(counts: DataFrame, order: int) -> tuple[list[DataFrame], list[Dat
         joined = each.alias("g").join(context.alias("c"), met).select("g.lang", "g.gram", "g.n", "g.cut", "c.total", "c.held", *more)
         own, share = (F.col("n") - F.col("cut")) / F.col("total"), F.col("held") / F.col("total")
         if below is None:
-            found = joined.withColumn("logp", F.log(own + share / 256)).alias("g")
+            found = joined.withColumns({"logp": F.log(own + share / 256), "lower": F.array().cast("array<double>")}).alias("g")
         else:
             low = joined.withColumn("ending", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1)).alias("g")
             met = F.col("g.lang").eqNullSafe(F.col("b.lang")) & (F.col("g.ending") == F.col("b.gram"))
-            found = low.join(below.select("lang", "gram", F.col("logp").alias("lower")).alias("b"), met).withColumn("logp", F.log(own + share * F.exp("lower")))
-        below = B.materialized(found.select("g.lang", "g.gram", "g.n", "logp", *more))
+            found = low.join(below.select("lang", "gram", F.col("lps").alias("lower")).alias("b"), met).withColumn("logp", F.log(own + share * F.exp(F.element_at("lower", -1))))
+        below = B.materialized(found.select("g.lang", "g.gram", "g.n", "logp", F.concat("lower", F.array("logp")).alias("lps"), *more))
         probs.append(below)
         backs.append(context.select("lang", "context", "total", F.log(F.col("held") / F.col("total")).alias("logb")))
     return probs, backs
 
 
-def answered(sent: DataFrame, model: DataFrame) -> DataFrame:
-    """For each block and bucket: the log-probabilities of the grams sent, from the bucket's sorted hash arrays."""
+def answered(sent: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """For each block, bucket and order (as kind): the log-probabilities of the grams sent, from the bucket's sorted hash arrays."""
 
     def look_up(key, table, known):
         B.trim()
         code = known["lang"].combine_chunks().dictionary_encode(null_encoding="encode")
         hashes = _keys(code.dictionary.to_pylist(), code.indices.to_numpy(), known["gram"].to_numpy().astype(np.uint64))
-        order = np.argsort(hashes)
-        hashes, values = hashes[order], known["logp"].to_numpy().astype(np.float32)[order]
-        out = [B.pack_array(values[np.searchsorted(hashes, _keys(langs, lang, grams))]) for langs, lang, grams in _received(table)]
-        n = len(out)
-        return pa.table({"block": table["block"], "kind": pa.array([LOGP] * n, pa.int32()), "bucket": pa.array([key[0].as_py()] * n, pa.int64()), "reply": pa.array(out, pa.binary())})
+        rank = np.argsort(hashes)
+        hashes, values = hashes[rank], known["lps"].combine_chunks().flatten().to_numpy().astype(np.float32).reshape(-1, order)[rank]
+        out = []
+        for name, (langs, lang, grams) in zip(table["block"].to_pylist(), _received(table), strict=True):
+            mine = values[np.searchsorted(hashes, _keys(langs, lang, grams))]
+            out += [(name, k + 1, key[0].as_py(), B.pack_array(mine[:, k])) for k in range(order)]
+        names, kinds, buckets, replies = zip(*out, strict=True) if out else [()] * 4
+        return pa.table({"block": pa.array(names, pa.int64()), "kind": pa.array(kinds, pa.int32()), "bucket": pa.array(buckets, pa.int64()), "reply": pa.array(replies, pa.binary())})
 
-    return sent.groupBy("bucket").cogroup(model.select("bucket", "lang", "gram", "logp").groupBy("bucket")).applyInArrow(look_up, B.REPLY_SCHEMA)
+    return sent.groupBy("bucket").cogroup(model.select("bucket", "lang", "gram", "lps").groupBy("bucket")).applyInArrow(look_up, B.REPLY_SCHEMA)
 
 
 def base_statistics(block: B.Block, bounds: np.ndarray, h: np.ndarray) -> dict[str, np.ndarray]:
@@ -218,38 +223,47 @@ def base_statistics(block: B.Block, bounds: np.ndarray, h: np.ndarray) -> dict[s
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def quality_rules(docs: DataFrame, order: int = 4, below: float = 3.0, above: float = 3.0, least: float = 0.005) -> DataFrame:
-    """doc_id, lang, the base statistics, base_failed, log_perplexity (of a byte), low, high, kept."""
+def quality_rules(docs: DataFrame, order: int = 4, below: float = 5.0, above: float = 5.0, least: float = 0.005) -> DataFrame:
+    """doc_id, lang, the base statistics, base_failed, log_perplexity (of a byte, highest order), and by order: log_perplexities, low, high; kept."""
     ship(docs.sparkSession)
     blocks = B.block_table(docs.select("doc_id", "text", "lang"), SIZE, level=9)
     buckets = B.n_buckets(blocks)
     sent = B.materialized(sent_grams(blocks, order, buckets))
     probs, _ = kneser_ney(B.materialized(gram_counts(sent)), order)
-    answers = B.materialized(answered(sent, probs[-1]))
+    answers = B.materialized(answered(sent, probs[-1], order))
     B.discard(sent)
 
     def score(block, table):
         grams = Grams(block, order)
         _, rank = grams.buckets(buckets)
-        each = np.zeros(grams.grams.size)
-        if each.size:
-            each[rank] = B.replies(table, LOGP)
-        sums = np.concatenate([[0.0], np.cumsum(each[grams.back])])[grams.steps]
         n = np.diff(grams.steps)
-        surprise = -np.diff(sums) / np.maximum(n, 1)
+        by_order = []
+        for k in range(1, order + 1):
+            each = np.zeros(grams.grams.size)
+            if each.size:
+                each[rank] = B.replies(table, k)
+            sums = np.concatenate([[0.0], np.cumsum(each[grams.back])])[grams.steps]
+            by_order.append(pa.array(-np.diff(sums) / np.maximum(n, 1), mask=n == 0))
         stats = base_statistics(block, grams.bounds, grams.h)
-        return pa.table([B.id_array(block.ids), block.table["lang"].combine_chunks(), *(pa.array(stats[c]) for c in STATS), pa.array(surprise, mask=n == 0)], names=["doc_id", "lang", *STATS, "log_perplexity"])
+        return pa.table([B.id_array(block.ids), block.table["lang"].combine_chunks(), *(pa.array(stats[c]) for c in STATS), *by_order], names=["doc_id", "lang", *STATS, *names])
 
-    scores = B.with_replies(blocks, answers, score, f"doc_id long, lang string, {', '.join(f'{c} long' for c in STATS)}, log_perplexity double")
+    names = [f"s{k}" for k in range(1, order + 1)]
+    scores = B.with_replies(blocks, answers, score, f"doc_id long, lang string, {', '.join(f'{c} long' for c in STATS)}, {', '.join(f'{c} double' for c in names)}")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scores = B.materialized(scores.withColumn("base_failed", failed))
     B.discard(blocks, answers)
-    bands = scores.where(~F.col("base_failed")).groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"))
-    first, middle, last = (F.col("q")[i] for i in range(3))
-    low, high = (F.greatest(x, F.lit(least)) for x in (middle - first, last - middle))
-    bands = bands.select("lang", (first - 2 * below * low).alias("low"), (last + 2 * above * high).alias("high"))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return scores.alias("s").join(bands.alias("b"), F.col("s.lang").eqNullSafe(F.col("b.lang")), "left").select("s.*", "low", "high", kept.alias("kept"))
+    quartiles = scores.where(~F.col("base_failed")).groupBy("lang").agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c) for c in names))
+
+    def bound(c: str, upper: bool):
+        q = [F.col(c)[i] for i in range(3)]
+        half = F.greatest((q[2] - q[1]) if upper else (q[1] - q[0]), F.lit(least))
+        return q[2] + 2 * above * half if upper else q[0] - 2 * below * half
+
+    bands = quartiles.select("lang", F.array(*(bound(c, False) for c in names)).alias("low"), F.array(*(bound(c, True) for c in names)).alias("high"))
+    inside = functools.reduce(lambda a, b: a & b, (F.col(c).between(F.col("low")[i], F.col("high")[i]) for i, c in enumerate(names)))
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
+    joined = scores.alias("s").join(bands.alias("b"), F.col("s.lang").eqNullSafe(F.col("b.lang")), "left")
+    return joined.select("doc_id", "s.lang", *STATS, "base_failed", F.col(names[-1]).alias("log_perplexity"), F.array(*names).alias("log_perplexities"), "low", "high", kept.alias("kept"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

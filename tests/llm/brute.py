@@ -171,7 +171,7 @@ def merge(unit, place):
 
 
 def kneser_ney(docs, order):
-    """{(text, lang): mean surprise of a byte} of a modified Kneser-Ney model over all rows (text, lang)."""
+    """{(text, lang): mean surprise of a byte by order} of a modified Kneser-Ney model over all rows (text, lang)."""
     stream = lambda t: b" " * (order - 1) + b"".join(w.encode() + b" " for w in words(t))
     out = {}
     for lang in {x for _, x in docs}:
@@ -202,5 +202,5 @@ def kneser_ney(docs, order):
         for t, x in docs:
             if x == lang and words(t) and (t, x) not in out:
                 s = stream(t)
-                out[t, x] = -sum(math.log(prob(s[i - order + 1 : i + 1])) for i in range(order - 1, len(s))) / (len(s) - order + 1)
+                out[t, x] = [-sum(math.log(prob(s[i - k + 1 : i + 1])) for i in range(order - 1, len(s))) / (len(s) - order + 1) for k in range(1, order + 1)]
     return out
