@@ -3,22 +3,27 @@
 Symbols are hashed words.  All windows of one length m form one search.  A block is a pair of
 neighbouring words; the shift table says how far a window may move when that pair ends it
 (m - 1 if no pattern holds the pair).  Pairs that end a pattern have shift 0: their bucket of
-patterns is looked up by the hash of the whole window and the words' bytes are then compared
-one by one, so a hash collision is never reported.  All documents of a chunk move in step, one
-array operation for one step of each.
+patterns is looked up by the hash of that pair, narrowed by the hash of the first pair, and the
+words of each pattern in it are then compared one by one, at last by their bytes, so a hash collision
+is never reported.  All documents of a block move in step, one array operation for one step of each.
 
 Cases: a null or empty text has no words and is clean; items without words are no patterns;
 equal windows of several items count for each of them; repeated item_ids count once; rows
 with a null item_id are together one item, which n_items counts and only the ids leave out; an empty
 benchmark leaves all documents clean; very long texts are searched whole.
 
-The patterns are broadcast in chunks of at most ``MAX_PATTERNS`` windows; a larger benchmark is
-searched chunk by chunk and the hits of a document are merged, so no broadcast grows without bound.
+The benchmark is read in the order of its items, ``MAX_PATTERNS`` windows at a time; each such chunk is
+broadcast, searched by a job of its own and forgotten before the next is read.  The hits of several
+chunks are written tables that meet by two hashes of the text.  So neither the driver nor a task ever
+holds more than one chunk, and a benchmark of one chunk takes one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from condense.llm.blocks import iter_blocks
-from condense.llm.textkit import ALNUM, GROUP, U64, mix, span_hashes, spans, windows_at
+from condense.llm.blocks import iter_blocks, materialized
+from condense.llm.textkit import ALNUM, GROUP, U64, mix, ranges, span_hashes, spans
 from condense.shipping import ship
 
 #: Windows in one broadcast: about 50 bytes each and the items' words.
@@ -61,9 +66,20 @@ class Search:
         for j in range(self.block - 1, self.m):
             spot = self.spot(words[:, j], words[:, j - 1] if self.block == 2 else None)
             np.minimum.at(self.shift, spot, self.m - 1 - j)
-        whole = windows_at(words.ravel(), np.arange(len(keys)) * self.m, self.m)
-        order = np.argsort(whole, kind="stable")
-        self.whole, self.order = whole[order], order
+        self.words = words
+        key = self.bucket(words, np.zeros(len(keys), np.int64), np.arange(len(keys)))
+        self.order = np.argsort(key, kind="stable")
+        self.keys = key[self.order]
+
+    def bucket(self, words: np.ndarray, first: np.ndarray, row: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the last and the first block of the windows from first (of the rows of a matrix, where row is given)."""
+        at = lambda k: words[first + k] if row is None else words[row, first + k]
+        ends = [at(self.m - 1)] + ([at(self.m - 2)] if self.block == 2 else [])
+        begins = [at(0)] + ([at(1)] if self.block == 2 else [])
+        h = np.zeros(first.size, np.uint64)
+        for x in ends + begins:
+            h = mix(h * _PAIR + x)
+        return h
 
     @staticmethod
     def spot(last: np.ndarray, before: np.ndarray | None) -> np.ndarray:
@@ -81,33 +97,73 @@ class Search:
             hit = at[step == 0]
             if hit.size:
                 first = hit - self.m + 1
-                key = windows_at(words, first, self.m)
-                low, high = np.searchsorted(self.whole, key), np.searchsorted(self.whole, key, "right")
-                for k in np.flatnonzero(high > low):
-                    place = int(first[k])
-                    found = tuple(buf[s:e].tobytes() for s, e in zip(starts[place : place + self.m], ends[place : place + self.m], strict=True))
-                    out += [(place, int(p)) for p in self.order[low[k] : high[k]] if self.patterns[p] == found]
+                key = self.bucket(words, first)
+                low = np.searchsorted(self.keys, key)
+                n = np.searchsorted(self.keys, key, "right") - low
+                place, pattern = np.repeat(first, n), self.order[ranges(low, n)]
+                for j in range(self.m):
+                    same = words[place + j] == self.words[pattern, j]
+                    place, pattern = place[same], pattern[same]
+                for i, p in zip(place.tolist(), pattern.tolist(), strict=True):
+                    found = tuple(buf[s:e].tobytes() for s, e in zip(starts[i : i + self.m], ends[i : i + self.m], strict=True))
+                    if self.patterns[p] == found:
+                        out.append((i, p))
             at = at + np.maximum(step, 1)
             live = at < last
             at, last = at[live], last[live]
         return out
 
 
-def compile_patterns(items: list[tuple[object, str | None]], k: int) -> list[list[dict]]:
-    """Chunks of at most MAX_PATTERNS windows; in each one dict of patterns for each length."""
-    chunks, size = [{}], 0
-    for number, (_, text) in enumerate(items):
-        words = words_of(text)
-        wins = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [tuple(words)] if words else []
-        if size and size + len(wins) > MAX_PATTERNS:
-            chunks.append({})
-            size = 0
-        size += len(wins)
-        for w in wins:
-            holders = chunks[-1].setdefault(len(w), {}).setdefault(w, [])
-            if not holders or holders[-1] != number:
-                holders.append(number)
-    return [list(c.values()) for c in chunks if c]
+def item_windows(benchmark: DataFrame, k: int, item_id: str, item_text: str) -> Iterator[tuple[str | None, tuple[bytes, ...]]]:
+    """(item, window) for all windows, items in order and one row at a time."""
+    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).orderBy("i")
+    for row in rows.toLocalIterator():
+        words = words_of(row.t)
+        if words:
+            for i in range(max(1, len(words) - k + 1)):
+                yield row.i, tuple(words[i : i + k])
+
+
+def chunks_of(windows: Iterator[tuple[str | None, tuple[bytes, ...]]]) -> Iterator[tuple[list[str | None], list[dict]]]:
+    """The items and the patterns, a dict for each length, of MAX_PATTERNS windows at a time."""
+    while part := list(itertools.islice(windows, MAX_PATTERNS)):
+        labels: list[str | None] = []
+        patterns: dict[int, dict] = {}
+        for item, window in part:
+            if not labels or labels[-1] != item:
+                labels.append(item)
+            holders = patterns.setdefault(len(window), {}).setdefault(window, [])
+            if not holders or holders[-1] != len(labels) - 1:
+                holders.append(len(labels) - 1)
+        yield labels, list(patterns.values())
+
+
+def _hits(block, labels: list, searches: list[Search]):
+    """The number of words of each row, and {row: (places of hit words, items)}."""
+    n_words, out, at = np.zeros(block.rows, np.int64), {}, 0
+    while at < block.rows:
+        upto = max(at + 1, int(np.searchsorted(block.offsets, block.offsets[at] + 2 * GROUP, "right")) - 1)
+        offsets = block.offsets[at : upto + 1] - block.offsets[at]
+        buf = np.frombuffer(block.buf[block.offsets[at] : block.offsets[upto]].tobytes().translate(_LOWER), np.uint8)
+        starts, ends, bounds = spans(buf, offsets, ALNUM)
+        n_words[at:upto] = np.diff(bounds)
+        words = span_hashes(buf, starts, ends)
+        for search in searches:
+            for place, p in search.find(buf, starts, ends, words, bounds):
+                doc = int(np.searchsorted(bounds, place, "right")) - 1
+                covered, which = out.setdefault(at + doc, (set(), set()))
+                covered.update(range(place - int(bounds[doc]), place - int(bounds[doc]) + search.m))
+                which.update(labels[i] for i in search.items[p])
+        at = upto
+    return n_words, out
+
+
+def _found(block, n_words: np.ndarray, hits: dict, keep: tuple[str, ...]) -> pa.RecordBatch:
+    n_hit, n_items, ids = np.zeros(block.rows, np.int64), np.zeros(block.rows, np.int64), [()] * block.rows
+    for row, (covered, which) in hits.items():
+        n_hit[row], n_items[row], ids[row] = len(covered), len(which), tuple(sorted(which - {None}))
+    found = [pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array([hashlib.sha256(",".join(h).encode()).hexdigest() for h in ids]), pa.array(n_hit > 0), pa.array([list(h) for h in ids], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays([*(block.table[c].combine_chunks() for c in keep), *found], [*keep, *FOUND])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -117,45 +173,45 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, text: str
     """
     spark = docs.sparkSession
     ship(spark)
-    names = {}
-    for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).toLocalIterator():
-        names.setdefault(row.i, []).append(row.t)
-    items = [(i, t) for i, ts in names.items() for t in ts]
-    labels = [i for i, _ in items]
-    chunks = compile_patterns(items, k)
-    shared = [spark.sparkContext.broadcast((c, labels)) for c in chunks]
-
-    def scan(batches):
-        searches = None
-        for block in iter_blocks(batches):
-            if searches is None:
-                searches = [[Search(p) for p in b.value[0]] for b in shared]
-            n_words, n_hit, n_items, hits = *(np.zeros(block.rows, np.int64) for _ in range(3)), [()] * block.rows
-            at = 0
-            while at < block.rows:
-                upto = max(at + 1, int(np.searchsorted(block.offsets, block.offsets[at] + 2 * GROUP, "right")) - 1)
-                offsets = block.offsets[at : upto + 1] - block.offsets[at]
-                buf = np.frombuffer(block.buf[block.offsets[at] : block.offsets[upto]].tobytes().translate(_LOWER), np.uint8)
-                starts, ends, bounds = spans(buf, offsets, ALNUM)
-                n_words[at:upto] = np.diff(bounds)
-                words = span_hashes(buf, starts, ends)
-                found: dict[int, tuple[set, set]] = {}
-                for group in searches:
-                    for search in group:
-                        for place, p in search.find(buf, starts, ends, words, bounds):
-                            doc = int(np.searchsorted(bounds, place, "right")) - 1
-                            covered, which = found.setdefault(doc, (set(), set()))
-                            covered.update(range(place, place + search.m))
-                            which.update(labels[i] for i in search.items[p])
-                for doc, (covered, which) in found.items():
-                    n_hit[at + doc], n_items[at + doc], hits[at + doc] = len(covered), len(which), tuple(sorted(which - {None}))
-                at = upto
-            found = [pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array([hashlib.sha256(",".join(h).encode()).hexdigest() for h in hits]), pa.array(n_hit > 0), pa.array([list(h) for h in hits], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(block.table[c].combine_chunks() for c in keep), *found], [*keep, *FOUND])
-
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType(), T.ArrayType(T.StringType())]
     schema = T.StructType([*docs.select(*keep).schema.fields, *map(T.StructField, FOUND, kinds)])
-    return docs.select(*dict.fromkeys((*keep, "doc_id", text))).withColumn("text", F.col(text)).mapInArrow(scan, schema)
+    docs = docs.select(*dict.fromkeys((*keep, "doc_id", text))).withColumn("text", F.col(text))
+    chunks = chunks_of(item_windows(benchmark, k, item_id, item_text))
+    chunk, following = next(chunks, ([], [])), next(chunks, None)
+    if following is None:
+        shared = spark.sparkContext.broadcast(chunk)
+
+        def scan(batches):
+            labels, searches = shared.value[0], [Search(p) for p in shared.value[1]]
+            for block in iter_blocks(batches):
+                yield _found(block, *_hits(block, labels, searches), keep)
+
+        return docs.mapInArrow(scan, schema)
+
+    keyed = docs.withColumns({"__x": F.xxhash64("text"), "__y": F.xxhash64("text", F.lit(1))})
+    parts = []
+    for labels, patterns in itertools.chain([chunk, following], chunks):
+        shared = spark.sparkContext.broadcast((labels, patterns))
+
+        def scan_chunk(batches, shared=shared):
+            labels, searches = shared.value[0], [Search(p) for p in shared.value[1]]
+            for block in iter_blocks(batches):
+                hits = _hits(block, labels, searches)[1]
+                rows = block.table.select(["__x", "__y"]).take(pa.array(list(hits), pa.int64())).combine_chunks()
+                found = [pa.array([sorted(c) for c, _ in hits.values()], pa.list_(pa.int32())), pa.array([sorted(w, key=lambda x: (x is not None, x)) for _, w in hits.values()], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([rows["__x"].combine_chunks(), rows["__y"].combine_chunks(), *found], ["x", "y", "covered", "which"])
+
+        parts.append(materialized(keyed.select("doc_id", "text", "__x", "__y").mapInArrow(scan_chunk, "x long, y long, covered array<int>, which array<string>").dropDuplicates(["x", "y"])))
+        shared.destroy()
+    every = functools.reduce(DataFrame.unionAll, parts).groupBy("x", "y").agg(*(F.flatten(F.collect_list(c)).alias(f"__{c}") for c in ("covered", "which")))
+    joined = keyed.join(every, (F.col("__x") == F.col("x")) & (F.col("__y") == F.col("y")), "left").drop("x", "y", "__x", "__y")
+
+    def finish(batches):
+        for block in iter_blocks(batches):
+            both = zip(block.table["__covered"].to_pylist(), block.table["__which"].to_pylist(), strict=True)
+            yield _found(block, _hits(block, [], [])[0], {i: (set(c), set(w)) for i, (c, w) in enumerate(both) if c}, keep)
+
+    return joined.mapInArrow(finish, schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ match of t = k + w - 1 lines holds a common fingerprint: the least gram hash of
 2. positions join on equal fingerprints: only those that occur twice or more go on;
 3. each such position is extended both ways: all runs of t lines that hold its gram are candidates,
    and the ones with equal lines anywhere else earlier are found by a grouped minimum of
-   (doc_id, line) for each run's pair of 64-bit hashes, never by pairs of positions;
-4. documents drop the lines that such runs cover.
+   (doc_id, line) for each run, never by pairs of positions.  A run stands for its lines by two
+   hashes of 64 bits, each over its own 64-bit hashes of the lines;
+4. rows drop the lines that such runs cover.
 
 Where a number of words is given, runs of fewer than t lines with at least so many words are candidates
 as well, all of them, without fingerprints; so a long passage on one line is found like one on three.
@@ -21,7 +22,8 @@ other rows.
 
 Cases: a null text has no lines and stays null; an empty text is one empty line; documents of
 fewer than t lines lose only runs with enough words; ties of doc_id and line (repeated rows) remove nothing from each
-other; null doc_ids come after all others and are told apart by their text only; an empty table
+other; null doc_ids come after all others, as if all were one number; rows that share a doc_id or have none lose only
+lines of their own text (rows are known by doc_id and a hash of the text, and equal rows fare alike); an empty table
 gives no rows; extra columns stay, columns named like the added ones are replaced.
 """
 
@@ -45,28 +47,42 @@ def _runs(hashes: Column, size: int, seed: int) -> Column:
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(hashes, i, size), F.lit(seed)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _run(at: Column, size: int) -> Column:
+    """The run of size lines from the 1-based place at: its 0-based place and two hashes."""
+    hashes = [F.xxhash64(F.slice(c, at, size), F.lit(seed)) for c, seed in (("h", 2), ("h2", 3))]
+    return F.struct((at - 1).alias("at"), hashes[0].alias("a"), hashes[1].alias("b"), F.lit(size).alias("size"))
+
+
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    """(id, row, x): what a row is known by, and its lines."""
+    return docs.where(F.col(text).isNotNull()).select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64(text).alias("row"), _lines(text).alias("x"))
+
+
+def _hashes() -> tuple[Column, Column]:
+    return F.transform("x", lambda x: F.xxhash64(x)).alias("h"), F.transform("x", lambda x: F.xxhash64(x, F.lit(7))).alias("h2")
+
+
 def _wordy(docs: DataFrame, most: int, words: int, text: str) -> DataFrame:
-    """(id, at, a, b, size): all runs of 1 .. most lines that hold at least so many words."""
-    count = lambda x: F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda y: y != ""))
-    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), _lines(text).alias("x")).select("id", F.transform("x", lambda x: F.xxhash64(x)).alias("h"), F.transform("x", count).alias("c"))
+    """(id, row, at, a, b, size): all runs of 1 .. most lines that hold at least so many words."""
+    count = F.transform("x", lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))).alias("c")
+    rows = _keyed(docs, text).select("id", "row", *_hashes(), count)
 
     def runs(size: int) -> Column:
         total = lambda i: F.aggregate(F.slice("c", i, size), F.lit(0), lambda a, x: a + x)
-        run = lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice("h", i, size), F.lit(2)).alias("a"), F.hash(F.slice("h", i, size), F.lit(3)).alias("b"), F.lit(size).alias("size"))
-        return F.when(F.size("h") >= size, F.transform(F.filter(F.sequence(F.lit(1), F.size("h") - (size - 1)), lambda i: total(i) >= words), run)).otherwise(F.array())
+        return F.when(F.size("h") >= size, F.transform(F.filter(F.sequence(F.lit(1), F.size("h") - (size - 1)), lambda i: total(i) >= words), lambda i: _run(i, size))).otherwise(F.array())
 
     each = [runs(size) for size in range(1, most + 1)]
-    return rows.select("id", F.explode(F.concat(*each)).alias("r")).select("id", "r.*")
+    return rows.select("id", "row", F.explode(F.concat(*each)).alias("r")).select("id", "row", "r.*")
 
 
 def repeated_lines(docs: DataFrame, k: int = 2, w: int = 2, text: str = "text", words: int | None = None) -> DataFrame:
-    """(doc_id, lines): the 0-based lines that later repeated runs cover, for documents that have any.
+    """(id, row, lines): the 0-based lines that later repeated runs cover, for rows that have any.
 
     words: shorter runs count too, down to single lines, where they hold at least so many words.
     """
     t = k + w - 1
-    hashes = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.transform(_lines(text), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= t)
-    grams = hashes.select("id", "h", _runs(F.col("h"), k, 1).alias("g"))
+    hashes = _keyed(docs, text).select("id", "row", *_hashes()).where(F.size("h") >= t)
+    grams = hashes.select("id", "row", "h", "h2", _runs(F.col("h"), k, 1).alias("g"))
     # windows of w grams: the rightmost least one, as a place
     chosen = F.array_distinct(
         F.transform(
@@ -74,35 +90,27 @@ def repeated_lines(docs: DataFrame, k: int = 2, w: int = 2, text: str = "text",
             lambda i: i + F.lit(w) - F.array_position(F.reverse(F.slice("g", i, w)), F.array_min(F.slice("g", i, w))).cast("int"),
         )
     )
+    places = F.transform(chosen, lambda p: F.struct(F.element_at("g", p).alias("f"), p.alias("p")))
     # a run of t lines begins at most w - 1 grams before its fingerprint's gram
-    places = F.filter(
-        F.transform(chosen, lambda p: F.struct(F.element_at("g", p).alias("f"), p.alias("p"))),
-        lambda x: x["f"].isNotNull(),
-    )
-    marks = grams.select("id", "h", F.explode(places).alias("m")).select(
-        "id", F.col("m.f").alias("f"),
-        F.filter(
-            F.transform(F.sequence(F.greatest(F.lit(1), F.col("m.p") - (w - 1)), F.least(F.col("m.p"), F.size("h") - (t - 1))), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice("h", i, t), F.lit(2)).alias("a"), F.hash(F.slice("h", i, t), F.lit(3)).alias("b"))),
-            lambda x: x["a"].isNotNull(),
-        ).alias("runs"),
-    )
+    begin = F.sequence(F.greatest(F.lit(1), F.col("m.p") - (w - 1)), F.least(F.col("m.p"), F.size("h") - (t - 1)))
+    marks = grams.select("id", "row", "h", "h2", F.explode(places).alias("m")).select("id", "row", F.col("m.f").alias("f"), F.transform(begin, lambda i: _run(i, t)).alias("runs"))
     often = marks.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
-    runs = marks.join(often, "f", "left_semi").select("id", F.explode("runs").alias("r")).select("id", "r.at", "r.a", "r.b")
-    size = F.lit(t)
+    runs = marks.join(often, "f", "left_semi").select("id", "row", F.explode("runs").alias("r")).select("id", "row", "r.*")
     if words is not None and t > 1:
-        runs = runs.withColumn("size", size).unionByName(_wordy(docs, t - 1, words, text))
-        size = F.col("size")
+        runs = runs.unionByName(_wordy(docs, t - 1, words, text))
     runs = materialized(runs.distinct())
     first = runs.groupBy("a", "b").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = runs.join(first, ["a", "b"]).where(F.struct("id", "at") > F.col("first"))
-    return later.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + (size - 1)))))).alias("lines"))
+    covered = F.collect_list(F.sequence("at", F.col("at") + (F.col("size") - 1)))
+    return later.groupBy("id", "row").agg(F.array_sort(F.array_distinct(F.flatten(covered))).alias("lines"))
 
 
 def line_dedup(docs: DataFrame, k: int = 2, w: int = 2, text: str = "text", words: int | None = None) -> DataFrame:
     """docs with repeated runs of lines deleted from the text, and n_lines, n_removed."""
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "__lines")]
-    found = repeated_lines(docs, k, w, text, words).select(F.col("id").alias("__id"), F.col("lines").alias("__lines"))
-    both = docs.select(*keep).join(found.hint("shuffle_hash"), F.coalesce(docs["doc_id"], F.lit(LAST)) == F.col("__id"), "left")
+    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "__lines")]
+    found = repeated_lines(docs, k, w, text, words).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("lines").alias("__lines"))
+    same = (F.coalesce(docs["doc_id"], F.lit(LAST)) == F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__row"))
+    both = docs.select(*keep).join(found.hint("shuffle_hash"), same, "left")
     lines = _lines(text)
     kept = F.when(
         F.col("__lines").isNotNull(),

@@ -79,19 +79,17 @@ def suffixes(docs, length):
     return out
 
 
-def lines(docs, t):
+def lines(docs, t, least=None):
+    """least: words that make a run of fewer than t lines count."""
+    runs = lambda x: [(s, tuple(x[s : s + n])) for n in range(1, t + 1) for s in range(len(x) - n + 1) if n == t or least and sum(len(words(y)) for y in x[s : s + n]) >= least]
+    split = [text.split("\n") if text is not None else [] for _, text in docs]
     first = {}
-    for i, text in docs:
-        x = text.split("\n") if text is not None else []
-        for s in range(len(x) - t + 1):
-            first[tuple(x[s : s + t])] = min(first.get(tuple(x[s : s + t]), (LAST + 1, 0)), (order(i), s))
+    for (i, _), x in zip(docs, split, strict=True):
+        for s, run in runs(x):
+            first[run] = min(first.get(run, (LAST + 1, 0)), (order(i), s))
     out = []
-    for i, text in docs:
-        x = text.split("\n") if text is not None else []
-        gone = set()
-        for s in range(len(x) - t + 1):
-            if first[tuple(x[s : s + t])] < (order(i), s):
-                gone |= set(range(s, s + t))
+    for (i, text), x in zip(docs, split, strict=True):
+        gone = {s + k for s, run in runs(x) if first[run] < (order(i), s) for k in range(len(run))}
         out.append((len(x), len(gone), None if text is None else "\n".join(y for k, y in enumerate(x) if k not in gone)))
     return out
 

@@ -104,31 +104,24 @@ def test_multikey_sort():
     assert sorted(groups) == sorted(v for v in want.values() if len(v) > 1)
 
 
-@pytest.mark.parametrize("k, w", [(2, 2), (1, 1), (1, 3)])
-def test_lines(docs, pairs, k, w):
-    got = linedup.line_dedup(docs, k=k, w=w)
-    want = brute.lines(pairs, k + w - 1)
+@pytest.mark.parametrize("k, w, words", [(2, 2, None), (1, 1, None), (1, 3, None), (2, 2, 50)])
+def test_lines(docs, pairs, k, w, words):
+    got = linedup.line_dedup(docs, k=k, w=w, words=words)
+    want = brute.lines(pairs, k + w - 1, words)
     assert sum(x[1] for x in want) > 0
-    rows = [((r.doc_id, r.n_lines, r.n_removed, r.text)) for r in got.collect()]
-    # null ids are one document to the order; all others compare exactly
-    assert bag(r for r in rows if r[0] is not None) == bag((i, *x) for (i, _), x in zip(pairs, want, strict=True) if i is not None)
-    assert len(rows) == len(pairs)
-
-
-def test_lines_by_words(docs, pairs):
-    """Runs of one or two lines with 50 words are found like runs of three."""
-    long = lambda run: len(run) == 3 or sum(map(len, map(brute.words, run))) >= 50
-    at = [(brute.order(i), s, tuple(x[s : s + n])) for i, t in pairs if t is not None for x in [t.split("\n")] for n in (1, 2, 3) for s in range(len(x) - n + 1)]
-    first = {}
-    for i, s, run in at:
-        if long(run):
-            first[run] = min(first.get(run, (i, s)), (i, s))
-    gone = {(i, s + k) for i, s, run in at if long(run) and first[run] < (i, s) for k in range(len(run))}
-    want = [(i, t if t is None else "\n".join(x for s, x in enumerate(t.split("\n")) if (i, s) not in gone)) for i, t in pairs if i is not None]
-    cut = [(r.doc_id, r.text) for r in linedup.line_dedup(docs, words=50).collect()]
-    assert bag(x for x in cut if x[0] is not None) == bag(want)
-    passage = Counter(x for _, t in pairs for x in (t or "").split("\n") if len(brute.words(x)) == 60).most_common(1)[0]
-    assert passage[1] == 12 and sum(passage[0] in (t or "") for _, t in cut) == 1
+    assert bag((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got.collect()) == bag((i, *x) for (i, _), x in zip(pairs, want, strict=True))
+    if words:  # a passage of 60 words alone on a line of 12 texts stays once
+        passage = Counter(x for _, t in pairs for x in (t or "").split("\n") if len(brute.words(x)) == 60).most_common(1)[0]
+        assert passage[1] == 12 and sum(passage[0] in (x[2] or "") for x in want) == 1
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    """Rows with one doc_id, or none, lose only lines that repeat."""
+    rows = [(1, "a\nb\nc\nd"), (7, "a\nb\nc\nq"), (7, "m1\nm2\nm3\nm4"), (None, "a\nb\nc\nz"), (None, "n1\nn2\nn3\nn4"), (None, "n1\nn2\nn3\nn4"), (7, "m1\nm2\nm3\nm4")]
+    got = linedup.line_dedup(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, N_Lines string"))
+    assert got.columns == ["doc_id", "text", "n_lines", "n_removed"]
+    want = [(1, "a\nb\nc\nd", 4, 0), (7, "q", 4, 3), (None, "z", 4, 3)] + [(7, rows[2][1], 4, 0), (None, rows[4][1], 4, 0)] * 2
+    assert bag(map(tuple, got.collect())) == bag(want)
 
 
 def test_lines_is_native(docs):
@@ -142,7 +135,7 @@ def test_decontamination(spark, docs, pairs):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute.contamination(pairs, items, 10)
     assert any(w[4] for w in want)
-    for most in (200_000, 7):
+    for most in (200_000, 25):
         decontaminate.MAX_PATTERNS, old = most, decontaminate.MAX_PATTERNS
         try:
             got = decontaminate.contamination(docs, bench).collect()
@@ -152,6 +145,19 @@ def test_decontamination(spark, docs, pairs):
     assert not decontaminate.contamination(docs, bench.where("false")).where("contaminated").count()
 
 
+def test_suffix_buckets():
+    """Only the patterns of a bucket are compared, however many there are."""
+    words = [f"w{i}".encode() for i in range(40)]
+    patterns = {tuple(words[(i + j) % 40] for j in range(10)): [i] for i in range(40)}
+    search = decontaminate.Search(patterns)
+    text = b" ".join(words * 3)
+    buf = np.frombuffer(text, np.uint8)
+    starts, ends, bounds = textkit.spans(buf, np.array([0, buf.size]), textkit.ALNUM)
+    found = search.find(buf, starts, ends, textkit.span_hashes(buf, starts, ends), bounds)
+    assert sorted(found) == [(i, i % 40) for i in range(111)]
+    assert np.unique(search.keys).size == 40 and (search.shift == 0).sum() == 40
+
+
 def test_decontamination_null_item(spark):
     """A null item_id hits like others, as in the SQL; only the ids leave it out."""
     docs = spark.createDataFrame([(1, "a b c d"), (2, "x y z"), (3, "c d")], "doc_id long, text string")
