@@ -39,7 +39,7 @@ def test_pipeline(spark):
     kept = [i for i, _ in rows(after)]
     assert sum(i in bad for i in kept) <= 0.25 * len(bad) and len(kept) >= 0.7 * len(rows(before))  # under a hundred labels here
     before, after = map(rows, held["lines"])
-    want = {i: w[2] for (i, _), w in zip(before, brute.lines(before, 3), strict=True)}
+    want = {i: w[2] for (i, _), w in zip(before, brute.lines(before, 3, C.PASSAGE), strict=True)}
     assert after == [(i, want[i]) for i, t in before if want[i].strip() or want[i] == t]
     before, after = map(rows, held["copies"])
     part = brute.jaccard(before, 5, 80, 100)
