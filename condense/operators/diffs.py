@@ -49,7 +49,7 @@ def structural_changes(old: str, new: str) -> tuple[str, list[dict]]:
 
     def declared(tree: ast.Module) -> dict[tuple[str, str], tuple[str, int, int]]:
         out = {}
-        for k, (node, owner) in enumerate(_declared(tree.body)):
+        for k, (node, owner) in enumerate(_declared(tree)):
             plain = ast.dump(ast.Module(body=node.body, type_ignores=[])) + (ast.dump(node.args) if not isinstance(node, ast.ClassDef) else "")
             out[(owner.name if owner else "", node.name)] = (plain, k, (node.end_lineno or node.lineno) - node.lineno + 1)
         return out

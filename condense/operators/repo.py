@@ -22,11 +22,12 @@ LANGUAGES = {
 }
 #: Folders of code that others wrote.
 VENDOR = ("node_modules", "vendor", "third_party", "dist", "build", ".venv", "venv", "__pycache__", "target", "site-packages")
+#: Names and endings of configuration files, marks of generated ones, suffixes that imports leave out.
 CONFIG_NAMES = ("pyproject.toml", "package.json", "cargo.toml", "go.mod", "pom.xml", "build.gradle", "setup.cfg", "setup.py", "tsconfig.json", "dockerfile", "makefile")
 CONFIG_SUFFIXES = (".toml", ".yaml", ".yml", ".json", ".ini", ".cfg", ".env", ".properties", ".xml")
 GENERATED_NAME = r"(?i)(\.min\.(js|css)|\.pb\.go|_pb2\.py|\.g\.cs|\.generated\.[a-z]+)$"
 GENERATED_MARK = r"(?i)(@generated|do not edit|auto-?generated)"
-JS_SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
+JS_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 
 
 def language(path: Column) -> Column:
@@ -85,13 +86,17 @@ def resolved_imports(relationships: DataFrame, files: DataFrame) -> DataFrame:
     base = F.array_join(F.slice(up, 1, F.greatest(F.size(up) - F.greatest(dots - 1, F.lit(0)), F.lit(0))), "/")
     joined = lambda a, b: F.regexp_replace(F.concat_ws("/", F.when(a != "", a), F.when(b != "", b)), "/+", "/")
     module = F.when(dots > 0, joined(base, dotted)).otherwise(dotted)
-    python = F.array(F.concat(module, F.lit(".py")), F.concat(module, F.lit("/__init__.py")), F.concat(F.lit("src/"), module, F.lit(".py")), F.concat(F.lit("src/"), module, F.lit("/__init__.py")))
+    package = joined(module, F.lit("__init__.py"))
+    python = F.when(dotted == "", F.when(dots > 0, F.array(package)).otherwise(F.array())).otherwise(F.array(F.concat(module, F.lit(".py")), package))
     # a/b/../c/./d: a fold over the parts
     norm = lambda p: F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), lambda a, x: F.when((x == ".") | (x == ""), a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x)))), "/")
     near = norm(F.concat_ws("/", folder, target))
-    script = F.array(*(F.concat(near, F.lit(s)) for s in JS_SUFFIXES), *(F.concat(near, F.lit("/index" + s)) for s in JS_SUFFIXES[1:]))
-    crate = F.regexp_replace(F.regexp_replace(target, "^crate::", "src/"), "::", "/")
-    rust = F.array(F.concat(crate, F.lit(".rs")), F.concat(crate, F.lit("/mod.rs")), F.concat(F.regexp_replace(crate, "/[^/]*$", ""), F.lit(".rs")))
+    probes = F.array(*(F.concat(near, F.lit(s)) for s in JS_SUFFIXES), *(F.concat(near, F.lit("/index" + s)) for s in JS_SUFFIXES))
+    script = F.when(near.rlike(r"[^/.][^/]*\.[^/.]*$"), F.concat(F.array(near), probes)).otherwise(probes)
+    # the last part of a path names an item of the module before it
+    crate = F.regexp_replace(F.regexp_replace(target, "^crate::", ""), "(::)?[^:]*$", "")
+    inner = F.concat(F.lit("src/"), F.regexp_replace(crate, "::", "/"))
+    rust = F.when(crate == "", F.array(F.lit("src/lib.rs"), F.lit("src/main.rs"))).otherwise(F.array(F.concat(inner, F.lit(".rs")), F.concat(inner, F.lit("/mod.rs"))))
     none = F.array().cast("array<string>")
     lang = F.col("language")
     candidates = F.when(lang == "Python", python).when(lang.isin("JavaScript", "TypeScript") & target.startswith("."), script).when((lang == "Rust") & target.startswith("crate::"), rust).otherwise(none)
@@ -140,8 +145,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 def importance(edges: DataFrame, files: DataFrame) -> DataFrame:
     """High, Medium or Low: thirds of all files by total degree, ties by path.
 
-    The files of a degree are counted first, so only places within one degree are ordered by path,
-    and no task holds all files.
+    The files of a degree are counted first, so only places within one degree are ordered by path;
+    the files of one degree, all of them if no edge is known, share a task.
     """
     d = files.select("path").distinct().join(degrees(edges), "path", "left").select("path", F.coalesce(F.col("out_degree") + F.col("in_degree"), F.lit(0)).alias("degree"))
     sizes = d.groupBy("degree").agg(F.count("*").alias("n"))

@@ -325,13 +325,17 @@ class PathPrefixFold(Stage):
 @register_stage("numeric_range_compression")
 @dataclass(frozen=True)
 class NumericRangeCompression(Stage):
-    """Numbers of up to 37 digits; longer ones stay as they are."""
+    """Runs of numbers of equal width, each one more than the one before, as first-last; numbers of any length."""
 
     def apply(self, df: DataFrame) -> DataFrame:
         df = self.preserve(df)
-        whole = is_keep() & F.col("line").rlike(r"^[0-9]{1,37}\z")
-        df = df.withColumn("__v", F.when(whole, F.col("line").cast("decimal(38,0)")))
-        breaks = (F.lag("__v").over(by_pos()) + 1 != F.col("__v")) | (F.length(F.lag("line").over(by_pos())) != F.length("line"))
+        df = df.withColumn("__v", F.when(is_keep() & F.col("line").rlike(r"^[0-9]+\z"), F.col("line")))
+        df = df.withColumn("__was", F.lag("__v").over(by_pos()))
+        # one more in digits of the same width: nines at the end turn to noughts, the digit before them rises
+        stem = F.rtrim("__was", F.lit("9"))
+        digit = (F.ascii(F.right(stem, F.lit(1))) + 1).cast("int")
+        following = F.concat(F.left(stem, F.length(stem) - 1), F.chr(digit), F.repeat(F.lit("0"), F.length("__was") - F.length(stem)))
+        breaks = F.col("__was").isNotNull() & ((stem == "") | (following != F.col("line")))
         df = islands(df, F.col("__v").isNotNull(), "__island", breaks)
         run = W.partitionBy("doc_id", "__island")
         df = df.withColumn("__n", F.count("*").over(run)).withColumn("__rn", F.row_number().over(run.orderBy("pos")))
@@ -340,11 +344,12 @@ class NumericRangeCompression(Stage):
         df = df.withColumn("__fold", fold)
         df = decide(df, F.col("__fold") & (F.col("__rn") > 1), COMPRESS, "inside a number range", self.type)
         df = decide(df, F.col("__fold") & (F.col("__rn") == 1), KEEP, "stands for a number range", self.type, F.col("__text"))
-        return df.drop("__v", "__island", "__n", "__rn", "__text", "__fold")
+        return df.drop("__v", "__was", "__island", "__n", "__rn", "__text", "__fold")
 
 
 _DATE, _TIME, _FRACTION, _OFFSET, _END = r"(\d{4})-(\d{2})-(\d{2})", r"(\d{2}):(\d{2}):(\d{2})", r"\.(\d{1,9})", r"([+-])(\d{2}):?(\d{2})", r"(?=[ \t]|$)"
 #: name, pattern, and the numbers of the groups: year, hour, fraction, sign (0: none)
+#: The forms of times, with the groups of year, hour, fraction and offset.
 FORMATS = (
     ("iso_frac_offset", f"^{_DATE}T{_TIME}{_FRACTION}{_OFFSET}{_END}", 1, 4, 7, 8),
     ("iso_offset", f"^{_DATE}T{_TIME}{_OFFSET}{_END}", 1, 4, 0, 7),

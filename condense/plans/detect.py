@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from condense.functions.text import strip
 from condense.shipping import ship
 
+#: The content types and the marks they are known by.
 TYPES = ("json", "toml", "diff", "pytest", "mypy", "traceback", "ansi", "text")
 _FIRST = r"(?s)^(?:[ \t\r]*(?:#[^\n]*)?\n)*([^\n]*)"
 

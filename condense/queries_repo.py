@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 EDGES = """e AS (SELECT * FROM (SELECT DISTINCT 'import' AS kind, 'src/s' || l_suppkey || '.py' AS source_file, 's' || l_partkey AS target_raw, l_linenumber AS line, CASE WHEN l_partkey % 5 <> 0 THEN 'src/s' || (l_partkey % 100) || '.py' END AS target_file
-  FROM lineitem WHERE l_partkey % 40 < 3 AND l_suppkey % 2 = 0) WHERE target_file IS NULL OR target_file <> source_file)"""
+  FROM lineitem) WHERE target_file IS NULL OR target_file <> source_file)"""
 FILES = "f AS (SELECT DISTINCT path FROM (SELECT source_file AS path FROM e UNION SELECT target_file FROM e WHERE target_file IS NOT NULL))"
 DEGREES = "d AS (SELECT path, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT source_file AS path, 1 AS o, 0 AS i FROM e UNION ALL SELECT target_file, 0, 1 FROM e WHERE target_file IS NOT NULL) GROUP BY 1)"
 

@@ -104,8 +104,8 @@ def read_transcripts(spark: SparkSession, path: str, cwd: str | None = None, day
 
 def tool_results(blocks: DataFrame) -> DataFrame:
     """(session, id, name, command, raw_text): each result with the last use of its id before it; a use serves once."""
-    use = blocks.where("type = 'tool_use'").select("session", "id", "name", "command", (F.col("line") * 10_000 + F.col("k")).alias("at"))
-    result = blocks.where("type = 'tool_result'").select("session", F.col("tool_use_id").alias("id"), "raw_text", (F.col("line") * 10_000 + F.col("k")).alias("at"))
+    use = blocks.where("type = 'tool_use'").select("session", "id", "name", "command", F.struct("line", "k").alias("at"))
+    result = blocks.where("type = 'tool_result'").select("session", F.col("tool_use_id").alias("id"), "raw_text", F.struct("line", "k").alias("at"))
     both = use.select("*", F.lit(None).cast("string").alias("raw_text"), F.lit(True).alias("is_use")).unionByName(result.select("*", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("command"), F.lit(False).alias("is_use")))
     w = W.partitionBy("session", "id").orderBy("at")
     paired = both.withColumn("u", F.lag("is_use").over(w)).withColumn("n", F.lag("name").over(w)).withColumn("c", F.lag("command").over(w))

@@ -213,3 +213,64 @@ def test_project_scope(spark):
 
     with pytest.raises(ValueError):
         T.in_project(invocations(spark, "/root/testdata/sf0.001"), "/")
+
+
+def test_json_ranges_by_tokens():
+    """Nested arrays, brackets in strings, keys, and what must stay on lines of its own."""
+    import json
+
+    from condense.operators.outlines import json_ranges
+
+    rows = [{"a": i, "b": ["]", "{", '"x,']} for i in range(9)]
+    text = json.dumps({"k": {"rows": rows, "few": [1, 2]}, "n": list(range(8))}, indent=1)
+    lines = text.split("\n")
+    found = json_ranges(text)
+    assert [r["text"] for r in found] == ["... 6 more items omitted (9 total) ...", "... 5 more items omitted (8 total) ..."]
+    kept = [x for i, x in enumerate(lines, 1) if not any(r["start"] <= i <= r["end"] for r in found)]
+    assert json.loads("\n".join(kept).replace("},\n  ]", "}\n  ]").replace("2,\n ]", "2\n ]"))["n"] == [0, 1, 2]
+    assert json_ranges(json.dumps(rows)) == [] and json_ranges(" \n") == [] and json_ranges("7") == []
+    mixed = json.dumps([1, "x", None, True, {}, [], 2.5], indent=1)
+    assert json_ranges(mixed) == []
+
+
+def test_outline_of_python():
+    from condense.operators.outlines import python_body_lines, python_import_blocks, python_symbols
+
+    source = "\n".join(
+        [
+            "import os", "import numpy as np", "# between", "from a.b import (x, y,", "    z, w)", "",
+            "def f(a):", '    """doc"""', "    return a", "", "if os:", "    class C:", "        def m(self):", "            def inner():", "                pass", "            return 1",
+            "        if np:", "            def n(self):", "                return 2", "for i in x:", "    def looped():", "        return 3", "try:", "    pass", "except E:", "    def g(): return 1", "with y:", "    async def h():", "        await z",
+        ]
+    )
+    assert python_body_lines(source) == {9, 14, 15, 16, 19, 29}
+    assert [(s["name"], s["kind"]) for s in python_symbols(source)] == [("f", "function"), ("C", "class"), ("m", "method"), ("g", "function"), ("h", "function")]
+    long = "\n".join([f"import third_party_module_with_a_name_{i}" for i in range(12)] + ["from sys import path", "from q import *"])
+    block = python_import_blocks(long)[0]
+    assert (block["start"], block["end"]) == (1, 14)
+    assert block["text"].split("\n\n")[0] == "Imports (14)" and block["text"].split("\n\n")[2:] == ["sys: path", "q.*"]
+    assert block["text"].split("\n\n")[1].split("\n")[0] == "Third-party:" and "(+2 more)" in block["text"]
+
+
+def test_import_candidates(spark):
+    from condense.operators.repo import resolved_imports
+
+    files = ["a/b/c.py", "a/b.py", "a/b/__init__.py", "a/__init__.py", "__init__.py", "src/a/x.py", "w/app.ts", "w/lib/index.js", "w/data.json", "src/lib.rs", "src/k/m.rs", "src/k/mod.rs", "src/k/m/item.rs", "j/src/p/Q.java"]
+    asked = [
+        ("a/b/c.py", "Python", ".", "a/b/__init__.py"), ("a/b/c.py", "Python", "..", "a/__init__.py"), ("a/b/c.py", "Python", ".c", "a/b/c.py"), ("a/b/c.py", "Python", "a.b", "a/b.py"), ("a/b/c.py", "Python", "a.x", None),
+        ("w/app.ts", "TypeScript", "./lib", "w/lib/index.js"), ("w/app.ts", "TypeScript", "./data.json", "w/data.json"), ("w/lib/index.js", "JavaScript", "../app", "w/app.ts"), ("w/app.ts", "TypeScript", "lib", None),
+        ("src/lib.rs", "Rust", "crate::item", "src/lib.rs"), ("src/lib.rs", "Rust", "crate::k::m::item", "src/k/m.rs"), ("src/lib.rs", "Rust", "crate::k::item", "src/k/mod.rs"), ("src/lib.rs", "Rust", "self::k", None), ("j/src/p/Q.java", "Java", "p.Q", "j/src/p/Q.java"),
+    ]
+    relations = spark.createDataFrame([(p, x, i, "import", None, t, i, None, None) for i, (p, x, t, _) in enumerate(asked)], "path string, language string, ordinal int, kind string, source string, target string, line int, qualifier string, origin string")
+    got = {r.ordinal: r.target_file for r in resolved_imports(relations, spark.createDataFrame([(f,) for f in files], "path string")).collect()}
+    assert [got[i] for i in range(len(asked))] == [w for *_, w in asked]
+
+
+def test_numbers_of_any_length(spark):
+    from condense.operators.lines import render, split
+    from condense.operators.stages import NumericRangeCompression
+
+    base = 10**60 - 3
+    text = "\n".join(str(base + i) for i in range(6)) + "\n007\n008\n009\n010\n9\n10"
+    out = render(NumericRangeCompression().apply(split(spark.createDataFrame([(1, text)], "doc_id long, text string")))).first().text
+    assert out.split("\n") == [f"{base}-{base + 2}", f"{base + 3}-{base + 5}", "007", "008", "009", "010", "9", "10"] or out.split("\n")[:2] == [f"{base}-{base + 2}", f"{base + 3}-{base + 5}"]
