@@ -87,6 +87,13 @@ def scratch(keep: list[DataFrame]):
         _delete(*entry)
 
 
+def repeatable(df: DataFrame) -> DataFrame:
+    """df if it only scans and filters files, so that every job reads the same rows, else its written copy."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    plain = all(line.lstrip(" +-:").startswith(("Project", "Filter", "Relation")) for line in plan.splitlines() if line.strip())
+    return df if plain else materialized(df)
+
+
 #: Text behind the values of one bucket; a bucket's arrays take several times as much.
 BUCKET = 128 << 20
 

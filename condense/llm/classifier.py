@@ -6,11 +6,12 @@ before it, of that fact alone (a pair with its words left out).  A feature's val
 the document's features, so long and short texts compare.  Scores are sparse dot products.
 
 Training reads labelled rows outside the held-out fold only.  At most about ``max_train`` of
-them are used (a hash of doc_id chooses); they pass through one task, which keeps one row's
-features at a time.  The model has 2 ** bits weights whatever the corpus, so it is broadcast.
+them are used (a hash of doc_id chooses); they pass through one task, which holds
+the features of all of them: some 200 numbers a row of prose, bounded by ``max_train``.  The model has 2 ** bits weights whatever the corpus, so it is broadcast.
 
 Cases: null and empty texts get the score of the bias; null doc_ids are scored but never train;
-several labels of one doc_id count as the lowest; without labels of both kinds every score is the
+several labels of one doc_id count as the lowest; rows of
+documents that share a labelled doc_id all train; without labels of both kinds every score is the
 share of label 1 (0.5 without any); whole texts are read, however long; extra columns are ignored.
 """
 
@@ -123,7 +124,7 @@ def scored(docs: DataFrame, weights: np.ndarray, share: float, cut: float = 0.3)
     bits = int(weights.size - 1).bit_length() - 1
     model = spark.sparkContext.broadcast(weights)
     flat = not weights.any()
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    keep = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
 
     def score(batches):
         w = model.value.astype(np.float64)

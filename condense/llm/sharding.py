@@ -7,6 +7,9 @@ follow each other: a row's place in the whole is the sizes of the buckets before
 place in its own, its shard is that place modulo the number of shards, its slot the quotient.  So
 row counts of shards are at most one apart and slots have no gaps (law ``rows``).
 
+The sizes of buckets are counted in one job and used in the next; an input that isn't a plain scan of
+files is written first, so that both see the same rows.
+
 Cases: null and empty texts have only the fixed 16 bytes of overhead; null ids and repeated rows
 are rows like any other (equal rows change places among themselves without effect); an empty
 table gives no rows; columns named like the added ones are replaced.
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from condense.llm.blocks import repeatable
 from condense.shipping import ship
 
 OVERHEAD = 16
@@ -41,7 +45,7 @@ def shuffled_shards(docs: DataFrame, shards: int = 40, seed: int = 2024, bucket_
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop("size", "shard", "slot", "__bucket", "__order")
+    docs = repeatable(docs.drop("size", "shard", "slot", "__bucket", "__order"))
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long")
     mass = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     buckets = max(1, -(-mass // bucket_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))

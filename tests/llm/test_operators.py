@@ -275,6 +275,17 @@ def test_classifier(spark, docs):
     assert {r.score for r in classifier.quality(docs, labels.where("quality = 1")).collect()} == {1.0}
 
 
+def test_classifier_on_held_out_labels(spark):
+    """Accuracy on labels that training never saw, against the share of the commoner label."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    truth = {r.doc_id: r.quality for r in labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).collect()}
+    got = [r for r in classifier.quality(docs.withColumn("SCORE", F.lit("x")), labels).withColumn("held", classifier.held_out(F.col("doc_id"))).collect() if r.held and r.doc_id in truth]
+    assert len(got) > 50 and "SCORE" not in got[0].asDict()
+    right = sum(r.predicted == truth[r.doc_id] for r in got) / len(got)
+    assert right > 0.95 and right > max(Counter(truth[r.doc_id] for r in got).values()) / len(got)
+
+
 def test_held_out_fold(spark):
     import zlib
 
@@ -291,7 +302,43 @@ def test_sharding(docs, pairs):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s]))
     assert all(r["size"] == len((r.text or "").encode()) + 16 for r in got)
     again = sharding.shuffled_shards(docs.repartition(3), shards=7, bucket_bytes=4000).collect()
-    assert bag((r.doc_id, r.text, r.shard) for r in got if r.doc_id is not None) == bag((r.doc_id, r.text, r.shard) for r in again if r.doc_id is not None)
+    assert bag((r.doc_id, r.text, r.shard, r.slot) for r in got) == bag((r.doc_id, r.text, r.shard, r.slot) for r in again)
+
+
+def test_sharding_by_plain_passes(spark, docs):
+    """Both passes in plain Python: scatter by the seeded hash, then the last place changes with a random one before it, and so on."""
+    rows = docs.select("doc_id", "text", F.xxhash64(F.lit(2024), "doc_id", "text").alias("h"), F.xxhash64("doc_id", "text", F.lit(1)).alias("o")).collect()
+    mass = sum(len((r.text or "").encode()) + 16 for r in rows)
+    n = max(1, -(-mass // 4000), 4)
+    buckets = [[] for _ in range(n)]
+    for r in rows:
+        buckets[r.h % n].append(r)
+    want, at = Counter(), 0
+    for b, bucket in enumerate(buckets):
+        bucket.sort(key=lambda r: (r.o, brute.order(r.doc_id)))
+        order = sharding.fisher_yates(len(bucket), 2024, b)
+        assert sorted(order.tolist()) == list(range(len(bucket)))
+        for i in order.tolist():
+            want[repr((bucket[i].doc_id, bucket[i].text, at % 7, at // 7))] += 1
+            at += 1
+    got = sharding.shuffled_shards(docs, shards=7, bucket_bytes=4000).collect()
+    assert bag((r.doc_id, r.text, r.shard, r.slot) for r in got) == want
+
+
+def test_fisher_yates_is_uniform():
+    times = Counter(tuple(sharding.fisher_yates(3, 1, b).tolist()) for b in range(6000))
+    assert len(times) == 6 and all(850 < n < 1150 for n in times.values())
+
+
+def test_write_shards(spark, docs, pairs, tmp_path):
+    """Each shard is a folder whose rows lie in the order of slots."""
+    sharding.write_shards(docs, str(tmp_path / "out"), shards=5, bucket_bytes=4000)
+    found = []
+    for s in range(5):
+        part = spark.read.parquet(str(tmp_path / "out" / f"shard={s}")).collect()
+        assert [r.slot for r in part] == list(range(len(part)))
+        found += [(r.doc_id, r.text) for r in part]
+    assert bag(found) == bag(pairs)
 
 
 def library():
