@@ -20,14 +20,16 @@ def upto():
     return by_pos().rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def split(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", partitions: int | None = None) -> DataFrame:
+def split(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", partitions: int | None = None, extra: tuple[str, ...] = (), dealt: bool = False) -> DataFrame:
     """Every text's pieces between newlines as KEEP lines; an empty text is one empty line, a null text has none.
 
     Rows are dealt out by doc_id here, once, before texts become lines; every stage's windows use that.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartition(partitions, "doc_id") if partitions else rows.repartition("doc_id")
-    return rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).select("doc_id", F.col("pos").cast("long").alias("pos"), "line", F.lit(KEEP).alias("decision"), F.lit("").alias("reason"), F.lit("").alias("stage"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *extra)
+    if not dealt:
+        rows = rows.repartition(partitions, "doc_id") if partitions else rows.repartition("doc_id")
+    rows = rows.select("doc_id", *extra, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "line", F.lit(KEEP).alias("decision"), F.lit("").alias("reason"), F.lit("").alias("stage"), *extra)
 
 
 def shown(decision: Column | str = "decision") -> Column:
@@ -36,8 +38,12 @@ def shown(decision: Column | str = "decision") -> Column:
 
 def render(lines: DataFrame) -> DataFrame:
     """(doc_id, text): lines that aren't COMPRESS, joined by newlines."""
-    kept = F.array_sort(F.collect_list(F.when(shown(), F.struct("pos", "line"))))
-    return lines.groupBy("doc_id").agg(F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("text"))
+    return lines.groupBy("doc_id").agg(joined(F.when(shown(), F.struct("pos", "line"))).alias("text"))
+
+
+def joined(rows: Column) -> Column:
+    """Aggregate: the lines of structs (pos, line), in order; nulls are left out."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["line"]), "\n")
 
 
 def stats(lines: DataFrame) -> DataFrame:

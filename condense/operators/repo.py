@@ -222,6 +222,19 @@ def ranked(facts: DataFrame, query: str) -> DataFrame:
 ORDER = ("tier", "r1", "r2", "r3", "path", "r4")
 
 
+#: Groups that find their own first rows before the first of all are chosen.
+GROUPS = 32
+
+
+def first_of(found: DataFrame, n: int) -> DataFrame:
+    """The first n rows in the order of search, with the number of all: one pass, and no task orders more than a group's share."""
+    group = W.partitionBy("__g")
+    top = found.withColumn("__g", F.pmod(F.xxhash64("path"), F.lit(GROUPS))).withColumns({"__k": F.row_number().over(group.orderBy(*ORDER)), "__n": F.count("*").over(group)}).where(F.col("__k") <= n)
+    few = W.partitionBy(F.lit(0))  # at most GROUPS * n rows
+    total = F.sum(F.when(F.col("__k") == 1, F.col("__n")).otherwise(0)).over(few)
+    return top.withColumns({"total_candidates": total, "__r": F.row_number().over(few.orderBy(*ORDER))}).where(F.col("__r") <= n).orderBy(*ORDER).drop("__g", "__k", "__n", "__r")
+
+
 def merged_search(facts: DataFrame, queries: list[str], per_query: int, limit: int = 20, exclude: list[str] | None = None, single: bool = False) -> DataFrame:
     """The best tier of each path over several queries, each cut to its first per_query."""
     parts = []
@@ -229,8 +242,7 @@ def merged_search(facts: DataFrame, queries: list[str], per_query: int, limit: i
         found = ranked(facts, q)
         if exclude:
             found = found.where(~F.col("path").isin(*exclude))
-        total = found.agg(F.count("*").alias("total_candidates"))
-        parts.append(found.orderBy(*ORDER).limit(per_query).join(F.broadcast(total)))  # one row
+        parts.append(first_of(found, per_query))
     out = functools.reduce(DataFrame.unionAll, parts)
     if not single:
         out = out.groupBy("path").agg(F.min("tier").alias("tier"), F.max("total_candidates").alias("total_candidates")).orderBy("tier", "path").limit(limit)

@@ -204,6 +204,10 @@ class CollapseUnchangedContext(Stage):
         return df.drop("__island", "__rn", "__n", "__mid", "__cost", "__told")
 
 
+#: Flags of lines in one piece of a string.
+FLAGS = 512
+
+
 @register_stage("max_tokens")
 @dataclass(frozen=True)
 class MaxTokens(Stage):
@@ -221,13 +225,19 @@ class MaxTokens(Stage):
 
         def kept(rows: Column, budget: int) -> Column:
             """One character for each row in order: 1 if the budget takes it."""
-            start = F.struct(F.lit(budget).cast("long").alias("left"), F.lit("").alias("flags"))
+            start = F.struct(F.lit(budget).cast("long").alias("left"), F.lit("").alias("flags"), F.array().cast("array<string>").alias("done"))
 
             def step(a: Column, r: Column) -> Column:
+                # full pieces go to a list of their own, so that a long document's flags aren't copied for each line
+                full = F.length(a["flags"]) >= FLAGS
                 take = (r["decision"] == KEEP) & (a["left"] >= r["__cost"])
-                return F.struct(F.when(take, a["left"] - r["__cost"]).otherwise(a["left"]).alias("left"), F.concat(a["flags"], F.when(take, "1").otherwise("0")).alias("flags"))
+                flag = F.when(take, "1").otherwise("0")
+                return F.struct(
+                    F.when(take, a["left"] - r["__cost"]).otherwise(a["left"]).alias("left"), F.when(full, flag).otherwise(F.concat(a["flags"], flag)).alias("flags"),
+                    F.when(full, F.concat(a["done"], F.array(a["flags"]))).otherwise(a["done"]).alias("done"),
+                )
 
-            return F.aggregate(rows, start, step, lambda a: a["flags"])
+            return F.aggregate(rows, start, step, lambda a: F.concat(F.array_join(a["done"], ""), a["flags"]))
 
         half = max(1, self.limit // 2)
         flags = {"head": [kept(F.col("rows"), self.limit)], "tail": [F.reverse(kept(F.reverse("rows"), self.limit))], "both": [kept(F.col("rows"), half), F.reverse(kept(F.reverse("rows"), half))]}[self.strategy]
@@ -347,46 +357,51 @@ class NumericRangeCompression(Stage):
         return df.drop("__v", "__was", "__island", "__n", "__rn", "__text", "__fold")
 
 
-_DATE, _TIME, _FRACTION, _OFFSET, _END = r"(\d{4})-(\d{2})-(\d{2})", r"(\d{2}):(\d{2}):(\d{2})", r"\.(\d{1,9})", r"([+-])(\d{2}):?(\d{2})", r"(?=[ \t]|$)"
-#: name, pattern, and the numbers of the groups: year, hour, fraction, sign (0: none)
-#: The forms of times, with the groups of year, hour, fraction and offset.
-FORMATS = (
-    ("iso_frac_offset", f"^{_DATE}T{_TIME}{_FRACTION}{_OFFSET}{_END}", 1, 4, 7, 8),
-    ("iso_offset", f"^{_DATE}T{_TIME}{_OFFSET}{_END}", 1, 4, 0, 7),
-    ("iso_frac_z", f"^{_DATE}T{_TIME}{_FRACTION}Z{_END}", 1, 4, 7, 0),
-    ("iso_z", f"^{_DATE}T{_TIME}Z{_END}", 1, 4, 0, 0),
-    ("space_datetime", f"^{_DATE} {_TIME}{_END}", 1, 4, 0, 0),
-    ("time_frac", f"^{_TIME}{_FRACTION}{_END}", 0, 1, 4, 0),
-    ("time_only", f"^{_TIME}{_END}", 0, 1, 0, 0),
-)
+#: The forms of times that a line may begin with, by (date and its separator, has a fraction, zone).
+FORMATS = {
+    ("T", True, "offset"): "iso_frac_offset",
+    ("T", False, "offset"): "iso_offset",
+    ("T", True, "Z"): "iso_frac_z",
+    ("T", False, "Z"): "iso_z",
+    (" ", False, ""): "space_datetime",
+    ("", True, ""): "time_frac",
+    ("", False, ""): "time_only",
+}
+_DATED, _TIMED = r"(?d)^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", r"(?d)^\d{2}:\d{2}:\d{2}"
+_TAIL = r"(?d)^(\.\d{1,9})?(Z|[+-]\d{2}:?\d{2})?(?=[ \t]|$)"
 _DAY = 86_400 * 10**9
 
 
-def parsed_time(line: Column) -> Column:
-    """struct(kind, size, width, days, ns) of a timestamp that begins the line; null for none or an impossible one.
+def with_time(df: DataFrame, where: Column, name: str) -> DataFrame:
+    """df with struct(kind, size, width, days, ns) of the timestamp that begins a line; null for none, an impossible one or elsewhere.
 
     Instants are whole days and nanoseconds of the day (which offsets may take out of 0 .. one day).
+    Fields lie at fixed places, so a line is matched once for its head and once for what follows it.
     """
-    out = F.lit(None).cast("struct<kind:string,size:int,width:int,days:long,ns:long>")
-    for name, pattern, year, hour, fraction, sign in reversed(FORMATS):
-        p = "(?d)" + pattern
-        part = lambda g, p=p: F.regexp_extract(line, p, g)
-        number = lambda g, p=p: F.regexp_extract(line, p, g).cast("long")
-        seconds = number(hour) * 3600 + number(hour + 1) * 60 + number(hour + 2)
-        ns = seconds * 10**9
-        fine = (number(hour) <= 23) & (number(hour + 1) <= 59) & (number(hour + 2) <= 59)
-        width, days = F.lit(0), F.lit(0).cast("long")
-        if fraction:
-            ns, width = ns + F.rpad(part(fraction), 9, "0").cast("long"), F.length(part(fraction))
-        if year:
-            date = F.try_to_date(F.concat_ws("-", part(year), part(year + 1), part(year + 2)), "yyyy-MM-dd")
-            days, fine = F.datediff(date, F.lit("1970-01-01").cast("date")).cast("long"), fine & date.isNotNull() & (number(year) >= 1)
-        if sign:
-            offset = (number(sign + 1) * 3600 + number(sign + 2) * 60) * 10**9
-            ns, fine = ns - F.when(part(sign) == "+", offset).otherwise(-offset), fine & (number(sign + 1) <= 23) & (number(sign + 2) <= 59)
-        found = F.struct(F.lit(name).alias("kind"), F.length(part(0)).alias("size"), width.cast("int").alias("width"), days.alias("days"), ns.alias("ns"))
-        out = F.when(line.rlike(p), F.when(fine, found)).otherwise(out)
-    return out
+    line = F.col("line")
+    digit = line.between("0", ":") & where
+    df = df.withColumn("__size", F.when(digit, F.when(line.rlike(_DATED), 19).when(line.rlike(_TIMED), 8)))
+    rest = F.substring(line, F.col("__size") + 1, F.lit(20))
+    df = df.withColumn("__tail", F.when(F.col("__size").isNotNull() & rest.rlike(_TAIL), F.regexp_extract(rest, _TAIL, 0)))
+    tail, dated = F.col("__tail"), F.col("__size") == 19
+    zone = F.when(tail.endswith("Z"), "Z").when(tail.rlike("[+-]"), "offset").otherwise("")
+    df = df.withColumn("__zone", zone).withColumn("__at", F.when(dated, 12).otherwise(1))
+    part = lambda begin, n: F.substring(line, F.lit(begin) if isinstance(begin, int) else begin, F.lit(n)).try_cast("long")
+    hour, minute, second = (part(F.col("__at") + k, 2) for k in (0, 3, 6))
+    digits = F.regexp_extract(tail, r"^\.(\d+)", 1)
+    ahead = F.col("__zone") == "offset"
+    offset = F.right(F.regexp_replace(tail, ":", ""), F.lit(5))
+    o_hour, o_minute = (F.substring(offset, k, 2).try_cast("long") for k in (2, 4))
+    date = F.try_to_date(F.substring(line, 1, 10), "yyyy-MM-dd")
+    kind = functools.reduce(lambda a, kv: a.when((F.when(dated, F.substring(line, 11, 1)).otherwise("") == kv[0][0]) & (tail.startswith(".") == kv[0][1]) & (F.col("__zone") == kv[0][2]), kv[1]), FORMATS.items(), F.when(F.lit(False), ""))
+    ns = (hour * 3600 + minute * 60 + second) * 10**9 + F.when(digits != "", F.rpad(digits, 9, "0").try_cast("long")).otherwise(0)
+    ns = ns - F.when(ahead, F.when(offset.startswith("+"), 1).otherwise(-1) * (o_hour * 3600 + o_minute * 60) * 10**9).otherwise(0)
+    fine = (hour <= 23) & (minute <= 59) & (second <= 59) & (~dated | (date.isNotNull() & (part(1, 4) >= 1))) & (~ahead | ((o_hour <= 23) & (o_minute <= 59)))
+    found = F.struct(
+        kind.alias("kind"), (F.col("__size") + F.length(tail)).cast("int").alias("size"), F.length(digits).cast("int").alias("width"),
+        F.when(dated, F.datediff(date, F.lit("1970-01-01").cast("date"))).otherwise(0).cast("long").alias("days"), ns.alias("ns"),
+    )
+    return df.withColumn(name, F.when(tail.isNotNull() & fine & kind.isNotNull(), found)).drop("__size", "__tail", "__zone", "__at")
 
 
 def delta_text(ns: Column) -> Column:
@@ -402,8 +417,8 @@ def delta_text(ns: Column) -> Column:
 @dataclass(frozen=True)
 class RelativeTimestampCompression(Stage):
     def apply(self, df: DataFrame) -> DataFrame:
-        df = self.preserve(df).withColumn("__t", F.when(is_keep(), parsed_time(F.col("line"))))
-        before = F.lag("__t").over(by_pos())
+        df = with_time(self.preserve(df), is_keep(), "__t").withColumn("__was", F.lag("__t").over(by_pos()))
+        before = F.col("__was")
         # decimals, as centuries of nanoseconds leave 64 bits
         days = (F.col("__t.days") - before["days"]).cast("decimal(10,0)")
         df = df.withColumn("__gap", days * F.lit(_DAY).cast("decimal(15,0)") + (F.col("__t.ns") - before["ns"]).cast("decimal(20,0)"))
@@ -415,7 +430,7 @@ class RelativeTimestampCompression(Stage):
         df = df.withColumn("__new", F.when(rest, F.concat(delta_text(F.col("__gap")), F.substring("line", F.col("__t.size") + 1, F.length("line")))))
         gain = F.sum(F.when(F.col("__new").isNotNull(), line_tokens(F.col("line")) - line_tokens(F.col("__new"))).otherwise(0)).over(run)
         df = df.withColumn("__gain", gain)
-        return decide(df, F.col("__new").isNotNull() & (F.col("__gain") > 0), KEEP, "time since the line before", self.type, F.col("__new")).drop("__t", "__gap", "__island", "__rn", "__new", "__gain")
+        return decide(df, F.col("__new").isNotNull() & (F.col("__gain") > 0), KEEP, "time since the line before", self.type, F.col("__new")).drop("__t", "__was", "__gap", "__island", "__rn", "__new", "__gain")
 
 
 @register_stage("column_padding_compression")

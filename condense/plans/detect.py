@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import tomllib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from condense.functions.text import strip
 from condense.shipping import ship
@@ -50,17 +50,21 @@ def _parses(text: str, load) -> bool:
         return False
 
 
+@functools.cache
+def _parser():
+    """A function of Arrow arrays: json, toml or null; made where a session runs."""
+
+    @F.arrow_udf("string")
+    def parse(texts: pa.Array) -> pa.Array:
+        kind = lambda x: None if x is None else "json" if x.strip()[:1] in ("{", "[") and _parses(x, json.loads) else "toml" if _parses(x, tomllib.loads) else None
+        return pa.array([kind(x) for x in texts.to_pylist()], pa.string())
+
+    return parse
+
+
 def with_type(df: DataFrame, text: str = "text", name: str = "content_type") -> DataFrame:
-    """df with the content type; only texts that could be JSON or TOML reach Python's strict parsers."""
+    """df with the content type, in one pass; only texts that could be JSON or TOML reach Python's strict parsers."""
     ship(df.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
-    maybe = looks_json(t) | looks_toml(t)
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.StringType())])
-
-    def parse(batches):
-        for batch in batches:
-            out = ["json" if x.strip()[:1] in ("{", "[") and _parses(x, json.loads) else "toml" if _parses(x, tomllib.loads) else None for x in batch[text].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, name])
-
-    parsed = df.where(maybe).mapInArrow(parse, schema).withColumn(name, F.coalesce(name, plain_type(F.col(text))))
-    return parsed.unionByName(df.where(~maybe).withColumn(name, plain_type(t)))
+    maybe = F.when(looks_json(t) | looks_toml(t), t)
+    return df.withColumn(name, F.coalesce(_parser()(maybe), plain_type(t)))

@@ -2,7 +2,8 @@
 
 Texts are dealt out by doc_id once; stages add windows and folds on that partitioning.  The trace
 needs no stage to run twice: each stage leaves a column with every line's decision and length, and
-one grouping at the end sums them all.
+one grouping at the end sums them all.  Originals travel with the lines as further columns, so one
+grouping gives the result and its original together, without a join.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from condense.functions.text import count_tokens, strip
-from condense.operators.lines import COMPRESS, KEEP, render, rendered_tokens, split
+from condense.operators.lines import COMPRESS, KEEP, joined, rendered_tokens, shown, split
 from condense.operators.stages import Stage
 
 
@@ -26,6 +27,11 @@ def guarded(original: Column, text: Column, on_empty: str | None, aborted: Colum
     return F.when(aborted, original).otherwise(out)
 
 
+def rendered(lines: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, __r, more): as render, with further aggregates of the same grouping."""
+    return lines.groupBy("doc_id").agg(joined(F.when(shown(), F.struct("pos", "line"))).alias("__r"), *more)
+
+
 @dataclass
 class Pipeline:
     stages: list[Stage] = field(default_factory=list)
@@ -50,19 +56,26 @@ class Pipeline:
             out = out | text.contains(s)
         return out
 
-    def _results(self, originals: DataFrame, lines: DataFrame) -> DataFrame:
-        both = originals.join(render(self.transform(lines)).withColumnRenamed("text", "__r"), "doc_id", "left")
-        final = guarded(F.col("original"), F.coalesce("__r", "original"), self.on_empty, self.aborts(F.col("original")))
-        both = both.withColumn("text", final)
+    def _results(self, grouped: DataFrame) -> DataFrame:
+        """The guarded results of rows (doc_id, original, __r)."""
+        final = guarded(F.col("original"), F.col("__r"), self.on_empty, self.aborts(F.col("original")))
+        both = grouped.withColumn("text", F.when(F.col("original").isNotNull(), final))
         return both.select("doc_id", count_tokens(F.col("original")).alias("original_tokens"), count_tokens(F.col("text")).alias("final_tokens"), "text")
 
-    def run(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-        """doc_id, original_tokens, final_tokens, text for each document; a null text stays null."""
-        docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("original")).repartition("doc_id")
-        return self._results(docs, split(docs, "original"))
+    def run(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dealt: bool = False) -> DataFrame:
+        """doc_id, original_tokens, final_tokens, text for each document; a null text stays null.
+
+        Documents must have ids of their own: rows that share one are lines of one text.  dealt: docs are dealt by doc_id.
+        """
+        docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("original"))
+        first = F.when(F.col("pos") == 0, F.col("original"))
+        lines = split(docs.withColumn("text", F.coalesce("original", F.lit(""))), extra=("original",), dealt=dealt).withColumn("original", first)
+        return self._results(rendered(self.transform(lines), F.first("original", ignorenulls=True).alias("original")))
 
     def run_lines(self, lines: DataFrame) -> DataFrame:
-        return self._results(render(lines).withColumnRenamed("text", "original"), lines)
+        """As run, for lines that a source has split already."""
+        lines = lines.withColumn("original", F.when(shown(), F.struct("pos", "line")))
+        return self._results(rendered(self.transform(lines), joined(F.col("original")).alias("original")))
 
     def trace(self, lines: DataFrame) -> DataFrame:
         """(doc_id, stage_idx, stage_type, lines_before, lines_after, lines_compressed, tokens_before, tokens_after, was_skipped)."""

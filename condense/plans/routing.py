@@ -39,17 +39,19 @@ def routed(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
 def compress(docs: DataFrame, rules=RULES, text: str = "text", names: list[str] | None = None) -> DataFrame:
     """doc_id, filter_name, original_tokens, final_tokens, text.
 
-    Each rule's rows run its chain as one branch of the plan; names limits the branches to rules that
-    are known to occur.  Texts without a rule, or with a failed guard, pass unchanged.
+    Texts are read, typed and routed once and dealt out by doc_id; all rules' chains read that one exchange and take
+    their own rows (texts without a rule are read once more).  names limits the chains to rules that are known to occur (``rules_present`` tells which).
+    Texts without a rule, or with a failed guard, pass unchanged.
     """
     known = {r.name: r for r in rules}
-    rows = routed(docs, rules, text)
-    parts = []
-    for name in names or known:
-        mine = rows.where(F.col("filter_name") == name).select("doc_id", text)
-        parts.append(known[name].pipeline().run(mine, text).withColumn("filter_name", F.lit(name)))
-    listed = F.col("filter_name").isin(*(names or known))
-    rest = rows.where(~F.coalesce(listed, F.lit(False))).select("doc_id", count_tokens(F.col(text)).alias("original_tokens"), count_tokens(F.col(text)).alias("final_tokens"), F.col(text).alias("text"), F.lit(None).cast("string").alias("filter_name"))
+    names = list(names or known)
+    listed = F.coalesce(F.col("filter_name").isin(*names), F.lit(False))
+    rows = routed(docs, rules, text).withColumnRenamed(text, "text").select("doc_id", "text", F.when(listed, F.col("filter_name")).alias("filter_name")).repartition("doc_id")
+    # a condition that isn't deterministic stays above the exchange, so all chains share it
+    mine = lambda name: rows.where(F.when(F.spark_partition_id() >= 0, F.col("filter_name").eqNullSafe(name))).select("doc_id", "text")
+    parts = [known[name].pipeline().run(mine(name), dealt=True).withColumn("filter_name", F.lit(name)) for name in names]
+    same = count_tokens(F.col("text"))
+    rest = mine(None).select("doc_id", same.alias("original_tokens"), same.alias("final_tokens"), "text", F.lit(None).cast("string").alias("filter_name"))
     out = functools.reduce(DataFrame.unionByName, parts, rest)
     return out.select("doc_id", "filter_name", "original_tokens", "final_tokens", "text")
 
@@ -61,13 +63,15 @@ def rules_present(docs: DataFrame, rules=RULES, text: str = "text") -> list[str]
 
 def run_tests(spark, rules=RULES) -> list[str]:
     """Failures of the rules' own tests: lines that must or mustn't be in the result, and a share of characters saved."""
-    cases = [(f"{r.name}/{i}", r, t) for r in rules for i, t in enumerate(r.tests)]
     failures = []
-    for label, rule, test in cases:
-        row = rule.pipeline().run(spark.createDataFrame([("x", test["input"])], "doc_id string, text string")).first()
-        failures += [f"{label}: lacks {w!r}" for w in test.get("must_contain", ()) if w not in row.text]
-        failures += [f"{label}: holds {w!r}" for w in test.get("must_not_contain", ()) if w in row.text]
-        least = test.get("compression_target")
-        if least is not None and 1 - len(row.text) / max(1, len(test["input"])) < least:
-            failures.append(f"{label}: saves less than {least}")
+    for rule in (r for r in rules if r.tests):
+        docs = spark.createDataFrame([(i, t["input"]) for i, t in enumerate(rule.tests)], "doc_id int, text string")
+        results = {r.doc_id: r.text for r in rule.pipeline().run(docs.coalesce(1)).collect()}
+        for i, test in enumerate(rule.tests):
+            label, text = f"{rule.name}/{i}", results[i]
+            failures += [f"{label}: lacks {w!r}" for w in test.get("must_contain", ()) if w not in text]
+            failures += [f"{label}: holds {w!r}" for w in test.get("must_not_contain", ()) if w in text]
+            least = test.get("compression_target")
+            if least is not None and 1 - len(text) / max(1, len(test["input"])) < least:
+                failures.append(f"{label}: saves less than {least}")
     return failures

@@ -274,3 +274,18 @@ def test_numbers_of_any_length(spark):
     text = "\n".join(str(base + i) for i in range(6)) + "\n007\n008\n009\n010\n9\n10"
     out = render(NumericRangeCompression().apply(split(spark.createDataFrame([(1, text)], "doc_id long, text string")))).first().text
     assert out.split("\n") == [f"{base}-{base + 2}", f"{base + 3}-{base + 5}", "007", "008", "009", "010", "9", "10"] or out.split("\n")[:2] == [f"{base}-{base + 2}", f"{base + 3}-{base + 5}"]
+
+
+def test_compress_reads_once(spark, tmp_path):
+    """One scan and one parser pass feed all chains, through one exchange; one more the texts without a rule."""
+    from condense.plans.routing import compress
+
+    rows = [(i, ("git status", "npm ci", "tail -f x", "unheard of")[i % 4], "On branch main\n\nadded 3 packages\n" * 3) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, command string, text string").write.parquet(str(tmp_path / "d"))
+    found = compress(spark.read.parquet(str(tmp_path / "d")), names=["git-status", "npm", "cat"])
+    assert found.count() == 20
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    final = text[: text.index("== Initial Plan ==")] if "== Initial Plan ==" in text else text
+    assert final.count("FileScan") <= 2 and final.count("ArrowEvalPython") <= 2, final
