@@ -6,10 +6,11 @@ the order of lookup; ``generic`` takes what no other rule does and stays last.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from condense.operators import outlines as _outlines  # noqa: F401  registers its stages
 from condense.operators.stages import STAGES, Stage
+from condense.plans.cases import CASES
 from condense.plans.pipeline import Pipeline
 
 
@@ -136,4 +137,5 @@ RULES: tuple[Rule, ...] = (
     Rule("generic", (r".",), stages=(stage("remove_ansi", strip_inline=True), strip(BLANK, keep=TROUBLE[:3]), stage("deduplicate_consecutive", show_count=True), stage("relative_timestamp_compression"), stage("path_prefix_fold", patterns=(r"^\S+/\S*$",)), stage("numeric_range_compression"), budget(1000))),
 )
 
+RULES = tuple(replace(r, tests=tuple(CASES[r.name])) for r in RULES)
 BY_NAME = {r.name: r for r in RULES}

@@ -8,8 +8,8 @@ from condense.functions import text as X
 from condense.operators import diffs, outlines, projection, repo, scans, shell
 from condense.operators import telemetry as T
 from condense.operators.lines import render, split
-from condense.plans.catalogue import BY_NAME, RULES
-from condense.plans.routing import compress, rules_present
+from condense.plans.catalogue import BY_NAME, RULES, Rule
+from condense.plans.routing import compress, rules_present, run_tests
 from condense.sources import files
 from condense.sources.rules import all_rules, load_rules
 from condense.streaming.sessions import batch_dedup, stream_dedup
@@ -131,10 +131,14 @@ def test_rules(spark, tmp_path):
 
 
 @pytest.mark.parametrize("name", [r.name for r in RULES])
-def test_every_rule_plans(spark, name):
-    docs = spark.createDataFrame([(1, "error: a\n\nwarning: b\nplain")], "doc_id int, text string")
-    row = BY_NAME[name].pipeline().run(docs).first()
-    assert row.final_tokens <= row.original_tokens or row.text == BY_NAME[name].on_empty
+def test_every_rule_passes_its_cases(spark, name):
+    assert len(BY_NAME[name].tests) >= 2
+    assert run_tests(spark, [BY_NAME[name]]) == []
+
+
+def test_failed_cases_are_told(spark):
+    rule = Rule("r", tests=({"input": "a", "must_contain": ("b",), "must_not_contain": ("a",), "compression_target": 0.5},))
+    assert run_tests(spark, [rule]) == ["r/0: lacks 'b'", "r/0: holds 'a'", "r/0: saves less than 0.5"]
 
 
 def test_repository(spark, tmp_path):

@@ -34,10 +34,10 @@ def test_parts(files):
 
 
 def test_tiers(spark):
-    rows = [("a.py", "Python", "import b\n"), ("b.py", "Python", "def f(x: K):\n    y = x\n    return y\n"), ("c.py", "Python", "class K:\n    def m(self):\n        return 1\n\n\nclass L:\n    def n(self):\n        return 1\n"), ("d.go", "Go", "package x"), ("e.py", "Python", "z")]
-    edges = [("import", "a.py", "b.py"), ("import", "b.py", "c.py"), ("import", "d.go", "a.py"), ("import", "e.py", "c.py")]
+    rows = [("a.py", "Python", "import b\n"), ("b.py", "Python", "def f(x: K):\n    y = x\n    return y\n"), ("c.py", "Python", "class K:\n    def m(self):\n        return 1\n\n\nclass L:\n    def n(self):\n        return 1\n"), ("d.rb", "Ruby", "package x"), ("e.py", "Python", "z")]
+    edges = [("import", "a.py", "b.py"), ("import", "b.py", "c.py"), ("import", "d.rb", "a.py"), ("import", "e.py", "c.py")]
     out = {r.path: (r.hop, r.tier, r.content, r.fallback) for r in tiers.tiered_context(spark.createDataFrame(rows, "path string, language string, text string"), spark.createDataFrame(edges, "kind string, source_file string, target_file string"), "a.py").collect()}
-    assert out == {"a.py": (0, "full", "import b\n", None), "b.py": (1, "signatures", "def f(x: K):\n", None), "c.py": (2, "outline", "class K\n    def m(...): ...\nclass L", None), "d.go": (1, "signatures", "package x", "no parser")}
+    assert out == {"a.py": (0, "full", "import b\n", None), "b.py": (1, "signatures", "def f(x: K):\n", None), "c.py": (2, "outline", "class K\n    def m(...): ...\nclass L", None), "d.rb": (1, "signatures", "package x", "no parser")}
 
 
 def test_hooks(spark):
