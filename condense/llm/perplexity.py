@@ -10,7 +10,7 @@ probabilities by joins of n-grams with their contexts and their endings.
 All documents that are scored are counted, so each of their n-grams of the highest order is in the
 model; scoring looks it up and never backs off.  A bucket holds its n-grams as sorted arrays of 64-bit
 hashes of (language, n-gram) with their probabilities, finds the ones that each block asked for by binary search and
-sends the block its answers.  So neither the model nor any part of it is ever whole in one place,
+sends the block its answers, to 1 / ``PARTS`` of a nat.  So neither the model nor any part of it is ever whole in one place,
 and none of it is left out, however large it is.
 
 Every text has a perplexity under each order of the model, from bytes alone to ``order`` bytes.
@@ -45,7 +45,9 @@ from condense.shipping import ship
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 REPEAT = 8
 #: Smaller than others: a block's arrays hold eight bytes for each byte of its texts, several times.
-SIZE = 2 << 20
+SIZE = 6 << 20
+#: Log-probabilities travel in two bytes, as parts of a nat.
+PARTS = 2048
 
 
 def _lang_hash(lang: str | None) -> int:
@@ -72,10 +74,11 @@ class Grams:
         at = np.cumsum(lead + size + 1) - (size + 1)
         text = np.full(int(at[-1] + size[-1] + 1) if size.size else 0, 32, np.uint8)
         text[ranges(at, size)] = block.buf[ranges(starts, size)]
-        place = ranges(at, size + 1)
-        grams = np.zeros(place.size, np.uint64)
-        for k in range(order):
-            grams |= text[place - k].astype(np.uint64) << U64(8 * k)
+        whole = text.astype(np.uint64)
+        for k in range(1, order):
+            whole[k:] |= text[: text.size - k].astype(np.uint64) << U64(8 * k)
+        grams = whole[ranges(at, size + 1)]
+        del whole
         names = block.table["lang"].to_pylist()
         self.langs = list(dict.fromkeys(names))
         number = {x: i for i, x in enumerate(self.langs)}
@@ -186,7 +189,8 @@ def answered(sent: DataFrame, model: DataFrame, order: int) -> DataFrame:
         code = known["lang"].combine_chunks().dictionary_encode(null_encoding="encode")
         hashes = _keys(code.dictionary.to_pylist(), code.indices.to_numpy(), known["gram"].to_numpy().astype(np.uint64))
         rank = np.argsort(hashes)
-        hashes, values = hashes[rank], known["lps"].combine_chunks().flatten().to_numpy().astype(np.float32).reshape(-1, order)[rank]
+        lps = known["lps"].combine_chunks().flatten().to_numpy().reshape(-1, order)
+        hashes, values = hashes[rank], np.minimum(np.rint(-PARTS * lps), 65_535).astype(np.uint16)[rank]
         out = []
         for name, (langs, lang, grams) in zip(table["block"].to_pylist(), _received(table), strict=True):
             mine = values[np.searchsorted(hashes, _keys(langs, lang, grams))]
@@ -239,11 +243,11 @@ def quality_rules(docs: DataFrame, order: int = 4, below: float = 5.0, above: fl
         n = np.diff(grams.steps)
         by_order = []
         for k in range(1, order + 1):
-            each = np.zeros(grams.grams.size)
+            each = np.zeros(grams.grams.size, np.int64)
             if each.size:
                 each[rank] = B.replies(table, k)
-            sums = np.concatenate([[0.0], np.cumsum(each[grams.back])])[grams.steps]
-            by_order.append(pa.array(-np.diff(sums) / np.maximum(n, 1), mask=n == 0))
+            sums = np.concatenate([[0], np.cumsum(each[grams.back])])[grams.steps]
+            by_order.append(pa.array(np.diff(sums) / np.maximum(PARTS * n, 1), mask=n == 0))
         stats = base_statistics(block, grams.bounds, grams.h)
         return pa.table([B.id_array(block.ids), block.table["lang"].combine_chunks(), *(pa.array(stats[c]) for c in STATS), *by_order], names=["doc_id", "lang", *STATS, *names])
 

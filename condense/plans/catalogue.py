@@ -110,7 +110,7 @@ RULES: tuple[Rule, ...] = (
     Rule("docker-ps", (r"^docker( container)? (ps|ls)\b",), stages=(ansi, padding(r"\S {2,}\S"), budget(800))),
     Rule("docker-images", (r"^docker (images|image ls)\b",), stages=(ansi, padding(r"\S {2,}\S"), budget(800))),
     Rule("gcc", (r"^(gcc|g\+\+|cc|c\+\+|clang(\+\+)?|make|cmake|ninja)\b",), stages=(ansi, group(r"^\[\s*\d+%\]", r"^(CC|CXX|LD|AR)\s", r"^\s*(gcc|g\+\+|clang)\s.*-c\s", r"^-- (Looking|Performing|Detecting|Check)", min_count=3, preserve_patterns=(r"(?i)\berror\b",)), group(r": warning: ", r": error: ", location_pattern=r"^(.*?): (?:warning|error): ", min_count=3, scope="global"), strip(BLANK, r"^make(\[\d+\])?: (Entering|Leaving) directory", r"^\s*\|\s*~*\^", r"^\s+from .*[,:]$", r"^In file included from", r"^-- (Configuring|Generating|Build files)", keep=(*TROUBLE, r"undefined reference")), dedup, budget(500, keep=(r": error: ", r"undefined reference", r"(?i)fatal error", r"\*\*\* \[", r"^collect2:"))), abort_unless=(":", "%", "make", "--"), on_empty="build: nothing to report"),
-    Rule("git-status", (r"^git status\b",), stages=(strip(BLANK, r"^\s*\(use \"git ", r"^On branch ", r"^Your branch is up to date", r"^no changes added to commit", r"^nothing to commit", r"^\s*\(commit or discard", keep=(r"^\s*(modified|new file|deleted|renamed|both modified):", r"^\s*[ MADRCU?!]{1,2} \S", r"^(Changes|Untracked|Unmerged)", r"(?i)conflict", r"(ahead|behind|diverged)", r"(?i)rebase|merge|cherry", r"HEAD detached")), dedup)),
+    Rule("git-status", (r"^git status\b",), stages=(strip(BLANK, r"^\s*\(use \"git ", r"^On branch ", r"^Your branch is up to date", r"^no changes added to commit", r"^nothing to commit", r"^\s*\(commit or discard", keep=(r"^\s*(modified|new file|deleted|renamed|both modified):", r"^(?=\S| \S)[ MADRCU?!]{1,2} \S", r"^(Changes|Untracked|Unmerged)", r"(?i)conflict", r"(ahead|behind|diverged)", r"(?i)rebase|merge|cherry", r"HEAD detached")), dedup)),
     Rule("git-log", (r"^git log\b",), stages=(strip(BLANK, r"^Author:\s", r"^Merge:\s", keep=(r"^commit [0-9a-f]{7,40}", r"^[0-9a-f]{7,40} ", r"^Date:\s", r"(?i)\b(fix|breaking|revert|security)\b")), budget(400, "head"))),
     Rule("git-diff", (r"^git (diff|show)\b",), ("diff",), (stage("protect_diff_filename_headers"), strip(r"^index [0-9a-f]+\.\.[0-9a-f]+", r"^diff --git ", r"^similarity index", keep=(r"^\+\+\+ b/", r"^--- a/", r"^@@ ", r"^[+-]", r"^rename (from|to) ", r"^Binary files ")), stage("collapse_unchanged_context", context_lines=1), dedup, budget(600, "both"))),
     Rule("git-branch", (r"^git branch\b",), stages=(padding(r"^[* ] \S+ {2,}", max_gaps=1),)),
