@@ -151,6 +151,32 @@ def benchmark_aggregate(cases: DataFrame) -> DataFrame:
     return out.withColumn("pct", F.when(F.col("tokens_before") > 0, 100.0 * (F.col("tokens_before") - F.col("tokens_after")) / F.col("tokens_before")))
 
 
+def benchmark_rules(cases: DataFrame) -> DataFrame:
+    """cases(filter_name, original_tokens, final_tokens): for each rule its cases, their share of all, and the tokens it saves in per cent."""
+    named = cases.where("filter_name is not null").groupBy("filter_name").agg(F.count("*").alias("case_count"), F.sum("original_tokens").alias("o"), F.sum("final_tokens").alias("f"))
+    all_cases = cases.agg(F.count("*").alias("total"))  # one row
+    pct = F.when(F.col("o") > 0, 100.0 * (F.col("o") - F.col("f")) / F.col("o")).otherwise(0.0)
+    return named.join(F.broadcast(all_cases)).select("filter_name", "case_count", (100.0 * F.col("case_count") / F.col("total")).alias("usage_pct"), pct.alias("compression_pct"))
+
+
+def extremes(cases: DataFrame, n: int = 5) -> DataFrame:
+    """cases(id, original_tokens, final_tokens): the n best and the n worst by per cent saved, ties by id, as (kind, place, id, pct)."""
+    pct = F.when(F.col("original_tokens") > 0, 100.0 * (F.col("original_tokens") - F.col("final_tokens")) / F.col("original_tokens")).otherwise(0.0)
+    rows = cases.select("id", pct.alias("pct"))
+
+    def end(kind: str, order) -> DataFrame:
+        few = rows.orderBy(order, "id").limit(n)
+        return few.select(F.lit(kind).alias("kind"), F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order, "id")).alias("place"), "id", "pct")
+
+    return end("best", F.desc("pct")).unionAll(end("worst", F.asc("pct")))
+
+
+def append_snapshot(history: DataFrame, analytics: DataFrame, at: datetime) -> DataFrame:
+    """history(snapshot_at, filter_name, invocations) with analytics(label, invocations) as one more snapshot; a snapshot of the same moment gives way."""
+    fresh = analytics.select(F.lit(at).cast("timestamp").alias("snapshot_at"), F.col("label").alias("filter_name"), F.col("invocations").cast("long").alias("invocations"))
+    return history.where(F.col("snapshot_at") != F.lit(at)).select("snapshot_at", "filter_name", "invocations").unionByName(fresh)
+
+
 def regressions(current: DataFrame, baseline: DataFrame, points: float = 2.0) -> DataFrame:
     """(id, pct) now against before: new, regression, improvement or unchanged."""
     both = current.alias("c").join(baseline.alias("b"), "id", "left").select("id", F.col("c.pct").alias("pct"), F.col("b.pct").alias("before"))

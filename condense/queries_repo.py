@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from condense import views
+from condense.operators import build
 from condense.operators import repo as R
 
 QUERIES: dict = {}
@@ -54,6 +55,23 @@ def bfs_hops(spark, sf):
     return R.hops(views.file_edges(spark, sf), ["src/s2.py"], 2)
 
 
+_IMPORTS = """r AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), f AS (SELECT 'a/s' || s_suppkey || '.py' AS path FROM supplier UNION ALL SELECT 'a/__init__.py'),
+c AS (SELECT 'a/s' || s || '.py' AS path, p, CASE p % 4 WHEN 0 THEN '.s' || (p % 2000) WHEN 1 THEN '.' WHEN 2 THEN 'a.s' || (p % 2000) ELSE '..b.x' END AS target, CASE p % 4 WHEN 1 THEN 'a/__init__.py' WHEN 3 THEN NULL ELSE 'a/s' || (p % 2000) || '.py' END AS want FROM r)"""
+
+
+@query("resolved_imports", f"WITH {_IMPORTS} SELECT c.path, c.target, f.path AS target_file, count(*) AS n FROM c LEFT JOIN f ON c.want = f.path GROUP BY 1, 2, 3")
+def resolved_imports(spark, sf):
+    """Relative and absolute imports of suppliers' files, a quarter of them of a package, a quarter of nothing known."""
+    p = F.col("l_partkey")
+    name = F.concat(F.lit("s"), (p % 2000).cast("string"))
+    target = F.when(p % 4 == 0, F.concat(F.lit("."), name)).when(p % 4 == 1, ".").when(p % 4 == 2, F.concat(F.lit("a."), name)).otherwise("..b.x")
+    rows = views.table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    none = F.lit(None).cast("string")
+    relations = rows.select(F.concat(F.lit("a/s"), F.col("l_suppkey").cast("string"), F.lit(".py")).alias("path"), F.lit("Python").alias("language"), p.cast("int").alias("ordinal"), F.lit("import").alias("kind"), none.alias("source"), target.alias("target"), p.cast("int").alias("line"), none.alias("qualifier"), none.alias("origin"))
+    files = views.table(spark, sf, "supplier").select(F.concat(F.lit("a/s"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("path")).unionAll(spark.createDataFrame([("a/__init__.py",)], "path string"))
+    return R.resolved_imports(relations, files).groupBy("path", "target", "target_file").agg(F.count("*").alias("n"))
+
+
 FACTS = f"""{EDGES}, {DEGREES}, x AS (SELECT path, CASE ntile(3) OVER (ORDER BY out_degree + in_degree DESC, path) WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS r2 FROM d),
 im AS (SELECT source_file AS path, count(*) AS n FROM e GROUP BY 1), ib AS (SELECT target_file AS path, count(DISTINCT source_file) AS n FROM e WHERE target_file IS NOT NULL GROUP BY 1),
 fa AS (SELECT x.path, r2, regexp_extract(x.path, 's([0-9]+)', 1) AS k, coalesce(im.n, 0) AS imports, coalesce(ib.n, 0) AS imported_by FROM x LEFT JOIN im USING (path) LEFT JOIN ib USING (path))"""
@@ -118,6 +136,11 @@ def stale_files(spark, sf):
     return R.stale(*views.snapshots(spark, sf))
 
 
+@query("rebuild_reasons", f"""WITH {SNAPSHOTS} SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'deleted' WHEN a.path IS NULL THEN 'new' WHEN a.h <> b.h THEN 'changed' ELSE 'kept' END AS reason FROM a FULL JOIN b ON a.path = b.path""")
+def rebuild_reasons(spark, sf):
+    return build.reasons(*views.snapshots(spark, sf)).select("path", "reason")
+
+
 @query("language_stats", "WITH f AS (SELECT CASE p_partkey % 5 WHEN 0 THEN 'Python' WHEN 1 THEN 'TypeScript' WHEN 2 THEN 'Go' WHEN 3 THEN 'Python' END AS language FROM part), c AS (SELECT language, count(*) AS files FROM f WHERE language IS NOT NULL GROUP BY 1) SELECT language, files, round(100.0 * files / sum(files) OVER (), 1) AS pct FROM c")
 def language_stats(spark, sf):
     suffix = F.element_at(F.array(*map(F.lit, (".py", ".tsx", ".go", ".pyi", ".txt"))), (F.col("p_partkey") % 5 + 1).cast("int"))

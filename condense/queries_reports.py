@@ -177,3 +177,23 @@ def retention_age(spark, sf):
 def retention_size(spark, sf):
     rows = views.table(spark, sf, "events").withColumn("size", (F.length("props") + 100).cast("long"))
     return T.retained_by_size(rows, "event_id", "size", "ts", 50_000).select("event_id")
+
+
+_CASES = """c AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber < 7 THEN l_returnflag END AS filter_name, CAST(l_quantity * 10 AS BIGINT) AS o, CAST(l_quantity * 10 AS BIGINT) - CAST(l_quantity * 100 * l_discount AS BIGINT) AS f FROM lineitem)"""
+
+
+def _cases(spark, sf):
+    quantity = F.col("l_quantity")
+    original = (quantity * 10).cast("long")
+    return views.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linenumber") < 7, F.col("l_returnflag")).alias("filter_name"), original.alias("original_tokens"), (original - F.round(quantity * 100 * F.col("l_discount")).cast("long")).alias("final_tokens"))
+
+
+@query("benchmark_rules", f"WITH {_CASES} SELECT filter_name, count(*) AS case_count, 100.0 * count(*) / (SELECT count(*) FROM c) AS usage_pct, 100.0 * (sum(o) - sum(f)) / sum(o) AS compression_pct FROM c WHERE filter_name IS NOT NULL GROUP BY 1")
+def benchmark_rules(spark, sf):
+    return T.benchmark_rules(_cases(spark, sf))
+
+
+@query("benchmark_extremes", f"""WITH {_CASES}, p AS (SELECT id, CASE WHEN o > 0 THEN 100.0 * (o - f) / o ELSE 0.0 END AS pct FROM c)
+SELECT * FROM (SELECT 'best' AS kind, row_number() OVER (ORDER BY pct DESC, id) AS place, id, pct FROM p ORDER BY pct DESC, id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'worst' AS kind, row_number() OVER (ORDER BY pct, id) AS place, id, pct FROM p ORDER BY pct, id LIMIT 5)""")
+def benchmark_extremes(spark, sf):
+    return T.extremes(_cases(spark, sf))

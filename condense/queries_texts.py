@@ -73,7 +73,11 @@ def never_expand(spark, sf):
     return Pipeline([RegexReplace(rules=((r"$", "!"),))]).run_lines(views.event_log(spark, sf))
 
 
-@query("json_projection")
+_ITEM = """'  {' || chr(10) || '    "event_id": ' || event_id || ',' || chr(10) || '    "event_type": "' || event_type || '"' || CASE WHEN event_id % 2 = 0 THEN ',' || chr(10) || '    "note": "value"' ELSE '' END || chr(10) || '  }'"""
+
+
+@query("json_projection", f"""WITH a AS (SELECT user_id, list({_ITEM} ORDER BY event_id, event_type) AS l FROM events GROUP BY 1)
+SELECT user_id, '[' || chr(10) || array_to_string(CASE WHEN len(l) > 5 THEN list_concat(l[1:3], ['  {{' || chr(10) || '    "__omitted_items__": "' || (len(l) - 5) || ' items hidden"' || chr(10) || '  }}'], l[len(l) - 1:]) ELSE l END, ',' || chr(10)) || chr(10) || ']' AS text FROM a""")
 def json_projection(spark, sf):
     rows = views.table(spark, sf, "events").groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("event_id", "event_type", F.when(F.col("event_id") % 2 == 0, "value").alias("note"))))).alias("text"))
     return projection.project_json(rows)
@@ -88,7 +92,8 @@ def log_projection(spark, sf):
     return projection.project_log(L.render(views.ansi_log(spark, sf)))
 
 
-@query("structured_json")
+@query("structured_json", """WITH a AS (SELECT user_id AS doc_id, list_sort(list('  {"id": ' || lpad(CAST(event_id AS VARCHAR), 8, '1') || '}')) AS l FROM events GROUP BY 1)
+SELECT doc_id, '[' || chr(10) || CASE WHEN len(l) > 6 THEN array_to_string(l[1:3], ',' || chr(10)) || ',' || chr(10) || '... ' || (len(l) - 3) || ' more items omitted (' || len(l) || ' total) ...' ELSE array_to_string(l, ',' || chr(10)) END || chr(10) || ']' AS text FROM a""")
 def structured_json(spark, sf):
     """Long arrays of pretty-printed JSON collapse."""
     rows = views.table(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('  {"id": '), F.lpad(F.col("event_id").cast("string"), 8, "1"), F.lit("}")))), ",\n").alias("body"))
@@ -96,7 +101,7 @@ def structured_json(spark, sf):
     return L.render(outlines.StructuredDataSummarize(format="json").apply(L.split(docs)))
 
 
-@query("python_outline")
+@query("python_outline", """SELECT p_partkey AS doc_id, replace('import os|import sys|import json|from a.b import (c, d, e, f)|||def part_' || p_partkey || '(x):|    \"\"\"doc\"\"\"|', '|', chr(10)) AS text FROM part""")
 def python_outline(spark, sf):
     """Sources generated from parts; function bodies and import runs collapse."""
     p = views.table(spark, sf, "part")
@@ -104,6 +109,14 @@ def python_outline(spark, sf):
     return L.render(outlines.PythonAstSummarize().apply(L.split(p.select(F.col("p_partkey").alias("doc_id"), text.alias("text")))))
 
 
+@query("code_outline", """SELECT p_partkey AS doc_id, replace('package p||type T' || p_partkey || ' struct {|' || chr(9) || 'n int|}||func (t *T' || p_partkey || ') Size(x int) int {|}|', '|', chr(10)) AS text FROM part""")
+def code_outline(spark, sf):
+    """Sources in a language with braces, generated from parts; bodies of functions go, types stay."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = F.concat(F.lit("package p\n\ntype T"), k, F.lit(" struct {\n\tn int\n}\n\nfunc (t *T"), k, F.lit(") Size(x int) int {\n\tif x > "), n, F.lit(' {\n\t\treturn len("}")\n\t}\n\treturn t.n // {\n}\n'))
+    return L.render(outlines.CodeAstSummarize(language="go").apply(L.split(views.table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))))
+
+
 @query("diff_sections", f"""WITH {DIFFS}, s AS (SELECT doc_id, line, pos, sum(CASE WHEN starts_with(line, 'diff --git ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l)
 SELECT doc_id, CAST(section AS INT) AS section, min(regexp_extract(line, '^diff --git a/(.*?) b/(.*)', 1)) FILTER (starts_with(line, 'diff --git ')) AS old_path, count(*) AS n_lines FROM s GROUP BY 1, 2""")
 def diff_sections(spark, sf):
@@ -137,9 +150,16 @@ def secret_scan(spark, sf):
     return scans.secret_scan(views.table(spark, sf, "documents")).select("doc_id", F.array_join("found", ",").alias("found"))
 
 
-@query("command_classes")
+_COMMANDS = (
+    ("git status", "condense git status", "rule", "git-status"), ("cd a && npm install", "cd a && condense npm install", "rule", "npm"), ("FOO=1 pytest -q | tail", "FOO=1 condense pytest -q | tail", "rule", "pytest"),
+    ("cat <<EOF", None, "heredoc", None), ("git log --format=%H", None, "structured output", None), ("ls -la | xargs rm", None, "no rule", None), ("sudo docker ps", "condense sudo docker ps", "rule", "docker-ps"), ("echo hi", None, "no rule", None),
+)
+_COMMAND_ROWS = ", ".join(f"({i}, '{c}', {str(w is not None).lower()}, '{w or c}', '{r}', " + (f"'{n}')" if n else "CAST(NULL AS VARCHAR))") for i, (c, w, r, n) in enumerate(_COMMANDS))
+
+
+@query("command_classes", f"SELECT o_orderkey AS k, command, should_rewrite, rewritten, reason, rule FROM orders JOIN (VALUES {_COMMAND_ROWS}) AS t(m, command, should_rewrite, rewritten, reason, rule) ON o_orderkey % 8 = m")
 def command_classes(spark, sf):
-    c = F.element_at(F.array(*map(F.lit, ("git status", "cd a && npm install", "FOO=1 pytest -q | tail", "cat <<EOF", "git log --format=%H", "ls -la | xargs rm", "sudo docker ps", "echo hi"))), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    c = F.element_at(F.array(*(F.lit(c[0]) for c in _COMMANDS)), (F.col("o_orderkey") % 8 + 1).cast("int"))
     return shell.classified(views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), c.alias("command")))
 
 
