@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from condense.operators.outlines import extract_facts
 from condense.operators.profile import profile
-from condense.operators.repo import file_intelligence, resolved_edges
+from condense.operators.repo import file_intelligence, hops, merged_search, resolved_edges
+from condense.operators.scans import query_terms
 
 #: A build of another version is made anew as a whole.
 VERSION = 1
@@ -46,3 +47,17 @@ def build(files: DataFrame, previous: dict[str, DataFrame] | None = None) -> dic
         symbols, relationships = merged(previous["symbols"], symbols, why), merged(previous["relationships"], relationships, why)
     edges = resolved_edges(relationships, files, symbols)
     return out | {"reasons": why, "symbols": symbols, "relationships": relationships, "edges": edges, "facts": file_intelligence(files, symbols, edges)} | profile(files)
+
+
+def context(built: dict[str, DataFrame], path: str | None = None, query: str | None = None, most: int = 5) -> dict[str, DataFrame]:
+    """What a build knows of a file (file, symbols) and the files that matter to a query (relevant, with hops from the file if one is named)."""
+    facts, out = built["facts"], {}
+    if path:
+        first = built["symbols"].where(F.col("path") == path).groupBy("name").agg(F.min(F.struct("line", "kind", "is_public")).alias("s"))
+        out |= {"file": facts.where(F.col("path") == path), "symbols": first.select("name", "s.*").orderBy("line", "name")}
+    if query:
+        terms = facts.sparkSession.range(1).select(query_terms(F.lit(query))).first()[0]
+        if terms:
+            found = merged_search(facts, terms, most, most, [path] if path else None)
+            out["relevant"] = found.join(hops(built["edges"], [path]), "path", "left").orderBy("tier", "path") if path else found
+    return out

@@ -86,3 +86,44 @@ def structural_diff(pairs: DataFrame, key: str = "path") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch[key], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], kind)], [key, "change", "ops"])
 
     return pairs.select(key, "old_text", "new_text").mapInArrow(apply, f"{key} string, change string, ops array<struct<op:string,name:string,detail:string>>")
+
+
+#: Larger files aren't compared.
+MOST_BYTES = 256 * 1024
+
+
+def told(change: str, ops: list[dict]) -> str | None:
+    """The operations of a structural difference as lines; null where there is nothing to tell."""
+    if change == "unparseable":
+        return None
+    lines = [f"  {o['op']}: {o['name']}".rstrip(": ") + (f" -> {o['detail']}" if o["detail"] else "") for o in ops]
+    return "\n".join([f"[{change}]", *lines])
+
+
+def enriched(docs: DataFrame, contents: DataFrame) -> DataFrame:
+    """docs(doc_id, text) where the hunks of changed Python files give way to what changed in them, if that is shorter.
+
+    contents: (doc_id, old_path, new_path, old_text, new_text), whole texts of files on both sides of a diff.
+    Added, deleted, binary and other files, files without contents, too large or not parseable keep their hunks.
+    """
+    ship(docs.sparkSession)
+    found = diff_sections(docs).where("has_hunks and not is_binary and not is_added and not is_deleted")
+    found = found.where(F.col("old_path").rlike(r"\.pyi?$") & F.col("new_path").rlike(r"\.pyi?$")).select("doc_id", "section", "old_path", "new_path")
+    small = (F.octet_length("old_text") <= MOST_BYTES) & (F.octet_length("new_text") <= MOST_BYTES)
+    pairs = found.join(contents.where(small), ["doc_id", "old_path", "new_path"]).select("doc_id", "section", "old_text", "new_text")
+
+    def apply(batches):
+        for batch in batches:
+            texts = [told(*structural_changes(o, n)) for o, n in zip(batch["old_text"].to_pylist(), batch["new_text"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["section"], pa.array(texts, pa.string())], ["doc_id", "section", "told"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    changes = pairs.mapInArrow(apply, f"doc_id {kind}, section int, told string")
+    # the text before the first section is a piece of its own
+    pieces = docs.select("doc_id", F.posexplode(F.split(F.concat(F.lit("\n"), "text"), r"\n(?=diff --git )", -1)).alias("section", "body"))
+    head = F.regexp_extract("body", r"(?s)^(.*?)(?=\n@@ |\z)", 1)
+    short = F.concat(head, F.lit("\n"), "told")
+    body = F.when(F.length(short) < F.length("body"), short).otherwise(F.col("body"))
+    both = pieces.join(changes, ["doc_id", "section"], "left").select("doc_id", F.struct("section", body.alias("body")).alias("p"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["body"]), "\n")
+    return both.groupBy("doc_id").agg(F.substring(whole, 2, 2147483647).alias("text"))

@@ -41,3 +41,28 @@ def test_snapshots_append(spark):
     grown = T.append_snapshot(history, spark.createDataFrame([("npm", 9)], "label string, invocations long"), at)
     assert sorted((r.snapshot_at.day, r.invocations) for r in grown.collect()) == [(1, 3), (2, 9)]
     assert T.usage_growth(grown).first().growth == 6
+
+
+def test_context_of_a_file_and_a_query(spark):
+    files = {"a.py": "import b\n\ndef load_user():\n    b.g()\n", "b.py": "class G:\n    def g(self):\n        pass\n", "c.py": "def load_user_twice():\n    pass\n"}
+    built = build.build(walk(spark, files))
+    found = build.context(built, "b.py", "where is load_user used?")
+    assert found["file"].first().imported_by == 1
+    assert [(r.name, r.kind) for r in found["symbols"].collect()] == [("G", "class"), ("g", "method")]
+    assert [(r.path, r.evidence, r.hop) for r in found["relevant"].collect()] == [("a.py", "exact_symbol", 1), ("c.py", "prefix_symbol", None)]
+    assert build.context(built) == {}
+
+
+def test_enriched_diffs(spark):
+    """Hunks of a Python file become its structural changes; all else stays byte for byte."""
+    from condense.operators.diffs import enriched
+
+    old = "def f(a):\n    b = a\n    c = b\n    return c\n\n\ndef g():\n    return 1\n"
+    new = old.replace("def f", "def h").replace("return 1", "return 2")
+    hunk = "@@ -1,8 +1,8 @@\n" + "\n".join(f"-{x}" for x in old.split("\n")) + "\n" + "\n".join(f"+{x}" for x in new.split("\n"))
+    diff = "commit 1\n\ndiff --git a/m.py b/m.py\n--- a/m.py\n+++ b/m.py\n" + hunk + "\ndiff --git a/x.txt b/x.txt\n--- a/x.txt\n+++ b/x.txt\n@@ -1 +1 @@\n-a\n+b"
+    docs = spark.createDataFrame([(1, diff), (2, diff), (3, "no diff\n")], "doc_id long, text string")
+    contents = spark.createDataFrame([(1, "m.py", "m.py", old, new), (1, "x.txt", "x.txt", "a", "b"), (2, "m.py", "m.py", "def (", new)], "doc_id long, old_path string, new_path string, old_text string, new_text string")
+    out = {r.doc_id: r.text for r in enriched(docs, contents).collect()}
+    assert out[2] == diff and out[3] == "no diff\n"
+    assert out[1] == "commit 1\n\ndiff --git a/m.py b/m.py\n--- a/m.py\n+++ b/m.py\n[structural]\n  modified: g\n  renamed: f -> h" + diff[diff.index("\ndiff --git a/x.txt") :]
