@@ -102,6 +102,8 @@ class Search:
                 n = np.searchsorted(self.keys, key, "right") - low
                 place, pattern = np.repeat(first, n), self.order[ranges(low, n)]
                 for j in range(self.m):
+                    if not place.size:
+                        break
                     same = words[place + j] == self.words[pattern, j]
                     place, pattern = place[same], pattern[same]
                 for i, p in zip(place.tolist(), pattern.tolist(), strict=True):
