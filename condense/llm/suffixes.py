@@ -99,29 +99,37 @@ class Suffixes:
         """Distinct bytes of repeated suffixes with their smallest doc_id, by bucket; and for each (record, first start, strings, id)."""
         live = np.flatnonzero(often[self.back] >= 2) if often is not None else np.zeros(0, np.int64)
         data, length = self.block.buf.tobytes() if live.size else b"", self.length
-        heads = np.array([data[p : p + self.head] for p in self.place[live].tolist()], dtype=f"S{self.head}")
+        if not live.size:
+            return [], live, live, live
+        heads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.block.buf, self.head)[self.place[live]]).view(f"S{self.head}").ravel()
         bucket = np.searchsorted(splitters, heads, "right")
         first, last, ids = self.first[live], self.last[live], self.ids[live]
         if hot:
             # one record for each string of a hot head: equal strings still meet, and no head fills a bucket
-            spread = np.array([hot.get(h, 0) for h in heads.tolist()])
+            spread = np.zeros(heads.size, np.int64)
+            for h, k in hot.items():
+                spread[heads == h] = k
             n = np.where(spread > 0, last - first + 1, 1)
             at = np.repeat(np.arange(n.size), n)
             single = spread[at] > 0
             begin = first[at] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             first, last, ids = np.where(single, begin, first[at]), np.where(single, begin, last[at]), ids[at]
-            bucket = bucket[at] + np.array([(crc32(data[a : a + length]) % k) << 20 if k else 0 for a, k in zip(first.tolist(), spread[at].tolist(), strict=True)], np.int64)
+            bucket = bucket[at]
+            for k in np.flatnonzero(single).tolist():
+                bucket[k] += (crc32(data[first[k] : first[k] + length]) % int(spread[at[k]])) << 20
         seen: dict[bytes, int] = {}
         rows: list[list] = []
         of = np.empty(first.size, np.int64)
-        for k, (a, z, i, b) in enumerate(zip(first.tolist(), last.tolist(), ids.tolist(), bucket.tolist(), strict=True)):
-            content = data[a : z + length]
-            r = seen.setdefault(content, len(rows))
-            if r == len(rows):
-                rows.append([b, content, i])
-            elif i < rows[r][2]:
-                rows[r][2] = i
-            of[k] = r
+        for low in range(0, first.size, 1 << 16):
+            part = (x[low : low + (1 << 16)].tolist() for x in (first, last, ids, bucket))
+            for k, (a, z, i, b) in enumerate(zip(*part, strict=True), low):
+                content = data[a : z + length]
+                r = seen.setdefault(content, len(rows))
+                if r == len(rows):
+                    rows.append([b, content, i])
+                elif i < rows[r][2]:
+                    rows[r][2] = i
+                of[k] = r
         return rows, first, ids, of
 
 
