@@ -13,7 +13,7 @@ hashes of (language, n-gram) with their probabilities, finds the ones that each
 sends the block its answers, to 1 / ``PARTS`` of a nat.  So neither the model nor any part of it is ever whole in one place,
 and none of it is left out, however large it is.
 
-Every text has a perplexity under each order of the model, from bytes alone to ``order`` bytes.
+Every text has a perplexity under each of the ``judged`` orders of the model: bytes alone, pairs, and the highest.
 A language's band of each comes from documents that pass the base rules: its quartiles,
 widened below by ``below`` times twice the distance from the lower quartile to the median, above by
 ``above`` times twice the one from the median to the upper quartile (a distance under ``least`` nats
@@ -45,7 +45,7 @@ from condense.shipping import ship
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 REPEAT = 8
 #: Smaller than others: a block's arrays hold eight bytes for each byte of its texts, several times.
-SIZE = 6 << 20
+SIZE = 5 << 20
 #: Log-probabilities travel in two bytes, as parts of a nat.
 PARTS = 2048
 
@@ -60,6 +60,10 @@ def _keys(langs: list, number: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return mix(of[number] ^ mix(grams + U64(0x632BE59BD9B4E019)))
 
 
+def _split(keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    return (keys >> U64(8 * order)).astype(np.int64), keys & U64((1 << 8 * order) - 1)
+
+
 class Grams:
     """The n-grams that predict each byte of a block's texts; the distinct ones by (number of the language, gram)."""
 
@@ -84,8 +88,9 @@ class Grams:
         number = {x: i for i, x in enumerate(self.langs)}
         self.steps = np.concatenate([[0], np.cumsum(size + 1)])[self.bounds]
         grams |= np.repeat(np.array([number[x] for x in names], np.uint64) << U64(8 * order), np.diff(self.steps))
-        found, self.back, self.times = np.unique(grams, return_inverse=True, return_counts=True)
-        self.grams, self.lang = found & U64((1 << 8 * order) - 1), (found >> U64(8 * order)).astype(np.int64)
+        self.keys, back, self.times = np.unique(grams, return_inverse=True, return_counts=True)
+        self.back = back.astype(np.int32)
+        self.lang, self.grams = _split(self.keys, order)
 
     def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The bucket of each distinct gram, and their order by bucket."""
@@ -93,45 +98,45 @@ class Grams:
         return bucket, np.argsort(bucket, kind="stable")
 
 
-SENT_SCHEMA = "bucket int, block long, langs array<string>, lang binary, grams binary, times binary"
+SENT_SCHEMA = "bucket int, block long, langs array<string>, keys binary, times binary"
 
 
 def sent_grams(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
-    """For each block and bucket: the block's languages, and by gram the number of one, the gram and how often it occurs."""
+    """For each block and bucket: the block's languages, and rising keys of one's number and a gram, and how often each occurs."""
 
     def send(block):
         grams = Grams(block, order)
         bucket, rank = grams.buckets(buckets)
         cut = np.searchsorted(bucket[rank], np.arange(buckets + 1, dtype=np.uint64)).tolist()
-        rows = [(b, B.pack_array(grams.lang[rank[i:j]].astype(np.uint16)), B.pack_array(grams.grams[rank[i:j]]), B.pack_array(grams.times[rank[i:j]].astype(np.uint32))) for b, (i, j) in enumerate(itertools.pairwise(cut)) if j > i]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        rows = [(b, B.pack_sorted(grams.keys[rank[i:j]]), B.pack_array(grams.times[rank[i:j]].astype(np.uint32))) for b, (i, j) in enumerate(itertools.pairwise(cut)) if j > i]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 3
         langs = pa.array([grams.langs] * len(rows), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([block.name] * len(rows), pa.int64()), langs, *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "block", "langs", "lang", "grams", "times"])
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([block.name] * len(rows), pa.int64()), langs, *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "block", "langs", "keys", "times"])
 
     return B.each_block(blocks, send, SENT_SCHEMA)
 
 
-def _received(table: pa.Table):
+def _received(table: pa.Table, order: int):
     """(languages, number of the language, grams) for each row of a bucket."""
-    for langs, lang, grams in zip(table["langs"].to_pylist(), table["lang"], table["grams"], strict=True):
-        yield langs, B.unpack_array(lang.as_py()), B.unpack_array(grams.as_py())
+    for langs, keys in zip(table["langs"].to_pylist(), table["keys"], strict=True):
+        yield langs, *_split(B.unpack_sorted(keys.as_py()), order)
 
 
-def gram_counts(sent: DataFrame) -> DataFrame:
+def gram_counts(sent: DataFrame, order: int) -> DataFrame:
     """(bucket, lang, gram, n) over all documents; a gram is its bytes as one number."""
 
     def count(key, table):
         B.trim()
-        rows = list(_received(table))
+        rows = list(_received(table, order))
         names = list(dict.fromkeys(x for langs, _, _ in rows for x in langs))
         of = {x: i for i, x in enumerate(names)}
         number = np.concatenate([np.array([of[x] for x in langs])[lang] for langs, lang, _ in rows])
         grams, times = np.concatenate([g for _, _, g in rows]), np.concatenate([B.unpack_array(x.as_py()) for x in table["times"]])
-        order = np.lexsort((grams, number))
-        number, grams = number[order], grams[order]
+        rank = np.lexsort((grams, number))
+        number, grams = number[rank], grams[rank]
         fresh = np.ones(grams.size, bool)
         fresh[1:] = (grams[1:] != grams[:-1]) | (number[1:] != number[:-1])
-        n = np.add.reduceat(times[order].astype(np.int64), np.flatnonzero(fresh))
+        n = np.add.reduceat(times[rank].astype(np.int64), np.flatnonzero(fresh))
         langs = pa.array(names, pa.string()).take(pa.array(number[fresh]))
         return pa.table({"bucket": pa.array(np.full(n.size, key[0].as_py(), np.int32)), "lang": langs, "gram": pa.array(grams[fresh].astype(np.int64)), "n": pa.array(n)})
 
@@ -181,8 +186,8 @@ def kneser_ney(counts: DataFrame, order: int) -> tuple[list[DataFrame], list[Dat
     return probs, backs
 
 
-def answered(sent: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """For each block, bucket and order (as kind): the log-probabilities of the grams sent, from the bucket's sorted hash arrays."""
+def answered(sent: DataFrame, model: DataFrame, order: int, judged: tuple[int, ...]) -> DataFrame:
+    """For each block, bucket and judged order (as kind): the log-probabilities of the grams sent, from the bucket's sorted hash arrays."""
 
     def look_up(key, table, known):
         B.trim()
@@ -192,9 +197,9 @@ def answered(sent: DataFrame, model: DataFrame, order: int) -> DataFrame:
         lps = known["lps"].combine_chunks().flatten().to_numpy().reshape(-1, order)
         hashes, values = hashes[rank], np.minimum(np.rint(-PARTS * lps), 65_535).astype(np.uint16)[rank]
         out = []
-        for name, (langs, lang, grams) in zip(table["block"].to_pylist(), _received(table), strict=True):
+        for name, (langs, lang, grams) in zip(table["block"].to_pylist(), _received(table, order), strict=True):
             mine = values[np.searchsorted(hashes, _keys(langs, lang, grams))]
-            out += [(name, k + 1, key[0].as_py(), B.pack_array(mine[:, k])) for k in range(order)]
+            out += [(name, k, key[0].as_py(), B.pack_array(mine[:, k - 1])) for k in judged]
         names, kinds, buckets, replies = zip(*out, strict=True) if out else [()] * 4
         return pa.table({"block": pa.array(names, pa.int64()), "kind": pa.array(kinds, pa.int32()), "bucket": pa.array(buckets, pa.int64()), "reply": pa.array(replies, pa.binary())})
 
@@ -227,14 +232,14 @@ def base_statistics(block: B.Block, bounds: np.ndarray, h: np.ndarray) -> dict[s
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def quality_rules(docs: DataFrame, order: int = 4, below: float = 5.0, above: float = 5.0, least: float = 0.005) -> DataFrame:
-    """doc_id, lang, the base statistics, base_failed, log_perplexity (of a byte, highest order), and by order: log_perplexities, low, high; kept."""
+def quality_rules(docs: DataFrame, order: int = 4, below: float = 5.0, above: float = 5.0, least: float = 0.005, judged: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
+    """doc_id, lang, the base statistics, base_failed, log_perplexity (of a byte, highest order), and by judged order: log_perplexities, low, high; kept."""
     ship(docs.sparkSession)
     blocks = B.block_table(docs.select("doc_id", "text", "lang"), SIZE, level=9)
     buckets = B.n_buckets(blocks)
     sent = B.materialized(sent_grams(blocks, order, buckets))
-    probs, _ = kneser_ney(B.materialized(gram_counts(sent)), order)
-    answers = B.materialized(answered(sent, probs[-1], order))
+    probs, _ = kneser_ney(B.materialized(gram_counts(sent, order)), order)
+    answers = B.materialized(answered(sent, probs[-1], order, judged))
     B.discard(sent)
 
     def score(block, table):
@@ -242,16 +247,16 @@ def quality_rules(docs: DataFrame, order: int = 4, below: float = 5.0, above: fl
         _, rank = grams.buckets(buckets)
         n = np.diff(grams.steps)
         by_order = []
-        for k in range(1, order + 1):
-            each = np.zeros(grams.grams.size, np.int64)
+        for k in judged:
+            each = np.zeros(grams.grams.size, np.uint16)
             if each.size:
                 each[rank] = B.replies(table, k)
-            sums = np.concatenate([[0], np.cumsum(each[grams.back])])[grams.steps]
+            sums = np.concatenate([[0], np.cumsum(each[grams.back], dtype=np.int64)])[grams.steps]
             by_order.append(pa.array(np.diff(sums) / np.maximum(PARTS * n, 1), mask=n == 0))
         stats = base_statistics(block, grams.bounds, grams.h)
         return pa.table([B.id_array(block.ids), block.table["lang"].combine_chunks(), *(pa.array(stats[c]) for c in STATS), *by_order], names=["doc_id", "lang", *STATS, *names])
 
-    names = [f"s{k}" for k in range(1, order + 1)]
+    names = [f"s{k}" for k in judged]
     scores = B.with_replies(blocks, answers, score, f"doc_id long, lang string, {', '.join(f'{c} long' for c in STATS)}, {', '.join(f'{c} double' for c in names)}")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scores = B.materialized(scores.withColumn("base_failed", failed))
