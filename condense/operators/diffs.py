@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from condense.operators.lines import shown
 from condense.operators.outlines import _declared
 from condense.shipping import ship
 
@@ -17,6 +18,11 @@ def count_files(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?m)^diff --git ")).cast("long")
 
 
+def file_counts(lines: DataFrame) -> DataFrame:
+    """(doc_id, files): how many files the diff in each document's shown lines changes; no text is put together."""
+    return lines.groupBy("doc_id").agg(F.coalesce(F.sum(F.when(shown(), count_files(F.col("line")))), F.lit(0)).alias("files"))
+
+
 def diff_sections(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, section, old_path, new_path, is_added, is_deleted, is_binary, has_hunks, added_lines, removed_lines, body) for each file."""
     pieces = F.split(F.concat(F.lit("\n"), text), r"\n(?=diff --git )")

@@ -126,7 +126,7 @@ def diff_sections(spark, sf):
 
 @query("diff_file_counts", "SELECT o_orderpriority AS doc_id, count(*) AS files FROM orders GROUP BY 1")
 def diff_file_counts(spark, sf):
-    return L.render(views.diff_log(spark, sf)).select("doc_id", diffs.count_files(F.col("text")).alias("files"))
+    return diffs.file_counts(views.diff_log(spark, sf))
 
 
 @query("session_dedup", """WITH t AS (SELECT conv_id % 5 AS session, conv_id * 1000 + turn AS o, text, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id * 1000 + turn) AS n FROM conversations),
