@@ -6,9 +6,10 @@ import ast
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from condense.operators.lines import shown
+from condense.operators.lines import joined, shown
 from condense.operators.outlines import _declared
 from condense.shipping import ship
 
@@ -23,10 +24,35 @@ def file_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.coalesce(F.sum(F.when(shown(), count_files(F.col("line")))), F.lit(0)).alias("files"))
 
 
+#: A text's pieces, each but the first one file's.
+PIECES = r"\n(?=diff --git )"
+#: So many positions of a document are split in one piece of work.
+CHUNK = 4096
+
+
 def diff_sections(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, section, old_path, new_path, is_added, is_deleted, is_binary, has_hunks, added_lines, removed_lines, body) for each file."""
-    pieces = F.split(F.concat(F.lit("\n"), text), r"\n(?=diff --git )")
-    rows = docs.select("doc_id", F.posexplode(pieces).alias("section", "body")).where(F.col("body").startswith("diff --git "))
+    pieces = F.split(F.concat(F.lit("\n"), text), PIECES)
+    return described(docs.select("doc_id", F.posexplode(pieces).alias("section", "body")))
+
+
+def line_sections(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The rows that diff_sections has for the rendered lines; no task holds a document, only chunks of it and whole sections."""
+    # null documents are equal as fields of a struct, so one exchange serves the chunks and the join
+    chunks = lines.where(shown() & F.col("line").isNotNull()).groupBy(F.struct("doc_id").alias("d"), F.floor(F.col("pos") / chunk).alias("chunk")).agg(joined(F.struct("pos", "line")).alias("text"))
+    chunks = chunks.select("d", "chunk", F.split(F.concat(F.lit("\n"), "text"), PIECES).alias("pieces"))
+    before = F.sum("n").over(W.partitionBy("d").orderBy("chunk")) - F.col("n")
+    counts = chunks.select("d", "chunk", (F.size("pieces") - 1).alias("n")).select("d", "chunk", before.cast("int").alias("before"))
+    # a chunk's first piece goes on with the last section before it
+    each = chunks.join(counts, ["d", "chunk"]).select("d", "chunk", "before", F.posexplode("pieces").alias("i", "part")).where("part <> ''")
+    each = each.select("d", (F.col("before") + F.col("i")).alias("section"), F.struct("chunk", "part").alias("p")).where("section > 0")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "")
+    return described(each.groupBy("d", "section").agg(body.alias("body")).select("d.doc_id", "section", "body"))
+
+
+def described(sections: DataFrame) -> DataFrame:
+    """What the head and the hunks of each (doc_id, section, body) say; other bodies are left out."""
+    rows = sections.where(F.col("body").startswith("diff --git "))
     body = F.col("body")
     head = F.regexp_extract(body, r"(?s)^(.*?)(?=\n@@ |\z)", 1)
     name = lambda i: F.regexp_extract(body, r"^diff --git a/(.*?) b/(.*)", i)

@@ -120,7 +120,7 @@ def code_outline(spark, sf):
 @query("diff_sections", f"""WITH {DIFFS}, s AS (SELECT doc_id, line, pos, sum(CASE WHEN starts_with(line, 'diff --git ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l)
 SELECT doc_id, CAST(section AS INT) AS section, min(regexp_extract(line, '^diff --git a/(.*?) b/(.*)', 1)) FILTER (starts_with(line, 'diff --git ')) AS old_path, count(*) AS n_lines FROM s GROUP BY 1, 2""")
 def diff_sections(spark, sf):
-    found = diffs.diff_sections(L.render(views.diff_log(spark, sf)))
+    found = diffs.line_sections(views.diff_log_by_parts(spark, sf))
     return found.select("doc_id", F.col("section").cast("int").alias("section"), "old_path", F.size(F.split("body", "\n", -1)).cast("long").alias("n_lines"))
 
 

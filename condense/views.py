@@ -59,9 +59,8 @@ def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of(table(spark, sf_dir, "pages").where("url is not null"), F.regexp_extract("url", "^[a-z]+://([^/]*)", 1), F.col("url"), "url", "page_id")
 
 
-def diff_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order priority's orders as a diff; a third of the headers have no line that names the file."""
-    o = table(spark, sf_dir, "orders")
+def _diff_lines(orders: DataFrame, *more: str) -> DataFrame:
+    """Each order as seven lines of a diff; a third of the headers have no line that names the file."""
     path = F.concat(F.lit("src/f"), F.col("o_orderkey").cast("string"), F.lit(".py"))
     parts = F.array(
         F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path),
@@ -69,8 +68,25 @@ def diff_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 3 == 0, F.lit("new mode 100755")).otherwise(F.concat(F.lit("+++ b/"), path)),
         *(F.concat(F.lit(f" context line {i} of "), F.col("o_orderpriority")) for i in range(4)),
     )
-    rows = o.select("o_orderpriority", "o_orderkey", F.posexplode(parts).alias("k", "line"))
-    return lines_of(rows, "o_orderpriority", F.col("line"), "o_orderkey", "k")
+    return orders.select("o_orderpriority", "o_orderkey", *more, F.posexplode(parts).alias("k", "line"))
+
+
+def diff_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order priority's orders as a diff."""
+    return lines_of(_diff_lines(table(spark, sf_dir, "orders")), "o_orderpriority", F.col("line"), "o_orderkey", "k")
+
+
+def diff_log_by_parts(spark: SparkSession, sf_dir: str, part: int = 4096) -> DataFrame:
+    """The rows of diff_log; orders are counted within ranges of keys and before them become lines, so no task holds a document."""
+    o = table(spark, sf_dir, "orders").select(F.struct("o_orderpriority", F.floor(F.col("o_orderkey") / part).alias("part")).alias("p"), "o_orderpriority", "o_orderkey")
+    before = F.sum("n").over(W.partitionBy("p.o_orderpriority").orderBy("p.part")) - F.col("n")
+    sizes = o.groupBy("p").agg(F.count("*").alias("n")).select("p", before.alias("before"))
+    same = W.partitionBy("p", "o_orderkey")
+    o = o.withColumn("rank", F.rank().over(W.partitionBy("p").orderBy("o_orderkey")) - 1).withColumn("times", F.count("*").over(same)).withColumn("copy", F.row_number().over(same.orderBy("o_orderkey")) - 1)
+    rows = _diff_lines(o.join(sizes, "p"), "before", "rank", "times", "copy")
+    # a key that occurs again has its first lines one after another, then its second ones
+    pos = 7 * (F.col("before") + F.col("rank")) + F.col("times") * F.col("k") + F.col("copy")
+    return rows.select(F.col("o_orderpriority").alias("doc_id"), pos.alias("pos"), "line", F.lit(KEEP).alias("decision"), F.lit("").alias("reason"), F.lit("").alias("stage"))
 
 
 def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
