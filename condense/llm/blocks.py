@@ -63,6 +63,18 @@ def materialized(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, by: str, n: int) -> DataFrame:
+    """df as a table in the shared folder whose files are dealt by a column into n parts: what meets it by that column is shuffled to it, and its own rows stay."""
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    path, table = f"{shared_folder(spark)}/tables/{name}", f"spark_catalog.default.condense_{name}"
+    df.write.format("parquet").option("compression", "none").option("path", path).bucketBy(n, by).saveAsTable(table)
+    _written.append((spark, path))
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # only its name: out knows the files, and they stay
+    out._condense_path = path
+    return out
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
@@ -225,8 +237,19 @@ def split_sorted(values: np.ndarray, buckets: int) -> np.ndarray:
 TEXT_SCHEMA = "block long, n int, bytes long, rows binary"
 
 
-def block_table(docs: DataFrame, size: int | None = None, level: int = 3) -> DataFrame:
-    """One written row for each block: its name, rows, bytes of text, and its squeezed rows."""
+#: Parts of a dealt block table at most; with more blocks a task has more of them, one after another.
+MOST_PARTS = 1 << 13
+
+
+def n_parts(docs: DataFrame, size: int) -> int:
+    """Parts for blocks of about size bytes: by Spark's estimate of the rows' bytes where it has one, and enough for all cores."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    guess = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if guess > 1 << 50 else max(least, min(MOST_PARTS, guess // size))
+
+
+def block_table(docs: DataFrame, size: int | None = None, level: int = 3, stay: bool = False) -> DataFrame:
+    """One written row for each block: its name, rows, bytes of text, and its squeezed rows; with stay they are not shuffled where replies come to them."""
     size = size or BLOCK
 
     def pack(batches):
@@ -237,7 +260,8 @@ def block_table(docs: DataFrame, size: int | None = None, level: int = 3) -> Dat
             rows = squeeze(sink.getvalue().to_pybytes(), level)
             yield pa.RecordBatch.from_arrays([pa.array([block.name], pa.int64()), pa.array([block.rows], pa.int32()), pa.array([block.buf.size], pa.int64()), pa.array([rows], pa.binary())], ["block", "n", "bytes", "rows"])
 
-    return materialized(docs.mapInArrow(pack, TEXT_SCHEMA), "none")
+    table = docs.mapInArrow(pack, TEXT_SCHEMA)
+    return dealt(table, "block", n_parts(docs, size)) if stay else materialized(table, "none")
 
 
 def open_block(name: int, rows: bytes) -> Block:

@@ -235,7 +235,7 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def quality_rules(docs: DataFrame, order: int = 4, below: float = 5.0, above: float = 5.0, least: float = 0.005, judged: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
     """doc_id, lang, the base statistics, base_failed, log_perplexity (of a byte, highest order), and by judged order: log_perplexities, low, high; kept."""
     ship(docs.sparkSession)
-    blocks = B.block_table(docs.select("doc_id", "text", "lang"), SIZE, level=9)
+    blocks = B.block_table(docs.select("doc_id", "text", "lang"), SIZE, level=9, stay=True)
     buckets = B.n_buckets(blocks)
     sent = B.materialized(sent_grams(blocks, order, buckets))
     probs, _ = kneser_ney(B.materialized(gram_counts(sent, order)), order)

@@ -207,6 +207,23 @@ def test_quality_rules(docs, pairs):
     assert all(not (r.kept and r.base_failed) for r in got)
 
 
+def test_quality_rules_leave_texts_in_place(spark, docs, monkeypatch, tmp_path):
+    """Answers come to the blocks by the one exchange of the job that scores; nothing stays in the catalogue."""
+    docs.write.parquet(f"{tmp_path}/docs")
+    plans, write = [], blocks.materialized
+
+    def seen(df, *a):
+        if "base_failed" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *a)
+
+    monkeypatch.setattr(blocks, "materialized", seen)
+    for table in (docs, spark.read.parquet(f"{tmp_path}/docs")):
+        assert perplexity.quality_rules(table).count() == docs.count()
+    assert [p.count("Exchange ") for p in plans] == [1, 1]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("condense")]
+
+
 def test_perplexity_of_all_documents(docs):
     """Log-perplexities, bands and kept against a plain model."""
     rows = [(r.text, r.lang) for r in docs.collect()]
